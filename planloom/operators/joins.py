@@ -77,7 +77,7 @@ QUERIES = [
         "j7_cross",
         "customer",
         """
-        select c.c_custkey, c.c_acctbal < g.mean as below_mean, round(c.c_acctbal - g.lowest, 2) as above_lowest
+        select /*+ broadcast(g) */ c.c_custkey, c.c_acctbal < g.mean as below_mean, round(c.c_acctbal - g.lowest, 2) as above_lowest
         from customer c cross join (select avg(c_acctbal) as mean, min(c_acctbal) as lowest from customer) g
         """,
     ),
@@ -129,11 +129,12 @@ QUERIES = [
         where c.event_type = 'click' and p.event_type = 'purchase'
         """,
     ),
+    # The bands are the three literal rows of the query text.
     one_step(
         "j10_range_join",
         "part",
         """
-        select p.p_partkey, p.p_retailprice, b.band
+        select /*+ broadcast(b) */ p.p_partkey, p.p_retailprice, b.band
         from part p join (values ('low', 0, 1000), ('middle', 1000, 1500), ('high', 1500, 1000000))
                          as b(band, lowest, below)
           on p.p_retailprice >= b.lowest and p.p_retailprice < b.below

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
@@ -15,6 +16,8 @@ from planloom.sources import AccessToken, lake_settings, read_storage
 
 _PLAIN_ID = re.compile(r"\w+")
 
+log = logging.getLogger(__name__)
+
 
 @dataclass
 class OpenPlan:
@@ -45,6 +48,7 @@ class OpenPlan:
         shared = [self.view(view_id).persist(StorageLevel.MEMORY_AND_DISK) for view_id in share]
         try:
             for target in self.plan.targets:
+                log.debug("writing %s", target.output)
                 write_storage(self.relation(target.from_sql_query), target.output, self.access_token)
         finally:
             for frame in shared:
@@ -64,8 +68,10 @@ def open_plan(
     for key, value in lake_settings(plan, sas_tokens).items():
         session.conf.set(key, value)
     for source in plan.inputs:
+        log.debug("registering %s", source)
         read_storage(session, source, access_token).createOrReplaceTempView(source.id)
     for step in plan.transformations:
+        log.debug("registering view %s", step.id)
         session.sql(step.sql).createOrReplaceTempView(step.id)
     return OpenPlan(plan, session, access_token)
 

@@ -1,0 +1,72 @@
+"""The physical plans that matter at scale: what is scanned, shuffled and repeated."""
+
+import contextlib
+import io
+import re
+
+import pytest
+
+from conftest import TEST_DATA
+from planloom import Plan, open_plan
+from planloom.operators import CATALOGUE, Query
+
+SMALL = str(TEST_DATA / "sf0.001")
+
+
+def explain(frame):
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        frame.explain("simple")
+    return text.getvalue()
+
+
+@pytest.fixture
+def unbroadcast(spark):
+    """Plans as they are when no table is small enough to broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield spark
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_chain_of_views_is_one_pruned_and_filtered_scan(spark):
+    plan = Plan.from_dict({
+        "inputs": [{"id": "lineitem", "json_type": "ParquetStorage", "path": f"{SMALL}/lineitem.parquet"}],
+        "transformations": [
+            {"id": "a", "sql": "select * from lineitem where l_quantity > 10"},
+            {"id": "b", "sql": "select *, l_extendedprice * (1 - l_discount) as net from a"},
+            {"id": "c", "sql": "select l_returnflag, sum(net) as total from b group by l_returnflag"},
+        ],
+    })
+    text = explain(open_plan(spark, plan).view("c"))
+    assert text.count("FileScan") == 1
+    assert "GreaterThan(l_quantity,10.0)" in text
+    scanned = re.search(r"ReadSchema: struct<([^>]*)>", text).group(1)
+    assert {field.split(":")[0] for field in scanned.split(",")} == {
+        "l_quantity", "l_extendedprice", "l_discount", "l_returnflag"}
+
+
+@pytest.mark.parametrize("name", [name for name, query in CATALOGUE.items() if isinstance(query, Query)])
+def test_no_plan_pairs_everything_with_everything(unbroadcast, name):
+    assert "CartesianProduct" not in explain(CATALOGUE[name](unbroadcast, SMALL))
+
+
+@pytest.mark.parametrize("name", ["j12_lateral_top2", "w6_top3"])
+def test_top_rows_are_limited_before_the_shuffle(unbroadcast, name):
+    text = explain(CATALOGUE[name](unbroadcast, SMALL))
+    assert re.search(r"Exchange hashpartitioning.*\n.*WindowGroupLimit.*Partial", text)
+
+
+@pytest.mark.parametrize("name", ["w1_ranking", "w2_distribution", "w4_running", "w7_share", "j13_as_of"])
+def test_rows_meet_their_window_by_key_and_piece(unbroadcast, name):
+    text = explain(CATALOGUE[name](unbroadcast, SMALL))
+    assert re.search(r"hashpartitioning\(\w+#\d+L?, (band|salt)#\d+L?", text)
+
+
+def test_top_k_sorts_no_whole_table(spark):
+    assert "TakeOrderedAndProject" in explain(CATALOGUE["s1_top_k"](spark, SMALL))
+
+
+def test_common_table_is_computed_once(unbroadcast):
+    frame = CATALOGUE["q1_cte_scalar_subquery"](unbroadcast, SMALL)
+    frame.collect()
+    assert "ReusedExchange" in frame._jdf.queryExecution().executedPlan().toString()
