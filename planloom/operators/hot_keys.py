@@ -1,57 +1,68 @@
 """Keeping one heavy key from becoming one long task.
 
 A window, or a join against a per-key aggregate, sends all rows of a key to one task.
-These steps find the keys that hold more than a thousandth of a table and split only
-those, into pieces of about a ten-thousandth of the table each. Rows of every other
-key keep piece 0 and follow the ordinary plan.
+These views find the keys that hold more than a thousandth of a table, and more rows than
+one task sorts in passing, and split only those, into pieces of about a ten-thousandth of
+the table each. Rows of every other key keep piece 0 and follow the ordinary plan.
 
-Both tables made here are small whatever the input size: at most 1000 keys can each
-hold more than a thousandth of the rows, and the pieces of all of them together are
+Looking for heavy keys must not cost a shuffle of all keys. Rows are first counted per
+hash bucket of the key, which leaves at most 10000 small rows per map task; only keys in
+a bucket that is itself heavy are then counted one by one. Without heavy keys the second
+count, and every view that deals with hot rows only, is dropped at run time. All counts
+are exact, so that every use of these views in a plan splits the rows in the same way.
+
+The tables made here are small whatever the input size: at most 1000 buckets or keys can
+each hold more than a thousandth of the rows, and the pieces of all of them together are
 at most 10000 + 1000 (plus the two open-ended bands per key). That is what makes
 broadcasting them safe.
 """
 
 # Fixed values of this library, not of the data.
 HOT_SHARE = 1000
+HOT_ROWS = 10000
 PIECES = 10000
+BUCKETS = 10000
 
+Step = tuple[str, str]
 
-def hot_keys(table: str, key: str) -> tuple[str, str]:
-    """View `hot_keys(hot_key, hot_rows, pieces)`: one row per heavy key, from partial counts."""
-    return (
-        "hot_keys",
-        f"""
-        select {key} as hot_key, count(*) as hot_rows,
-               cast(ceil(count(*) * {PIECES} / (select count(*) from {table})) as bigint) as pieces
-        from {table} group by {key}
-        having count(*) * {HOT_SHARE} > (select count(*) from {table})
-        """,
-    )
+
+def hot_keys(table: str, key: str) -> tuple[Step, ...]:
+    """View `hot_keys(hot_key, hot_rows, pieces)`: one row per heavy key."""
+    return _hot_keys(table, key, "")
 
 
-def banded(table: str, key: str, order: str) -> tuple[tuple[str, str], ...]:
-    """Views `hot_keys` and `banded`: the table plus `band`, which never decreases along `order`.
+def banded(table: str, key: str, order: str) -> tuple[Step, ...]:
+    """Views `hot_keys` and `banded`: the table plus `hot_rows` and `band`.
 
-    `order` is a numeric or timestamp expression. Equal values share a band, so ranks and
-    ties can be settled within bands and the bands of a key put in sequence afterwards.
-    `hot_rows` is null for rows of ordinary keys, whose band is 0.
+    `band` never decreases along `order`, a numeric or timestamp column. Equal values share
+    a band, so ranks and ties can be settled within bands and the bands of a key put in
+    sequence afterwards. `hot_rows` is null for rows of ordinary keys, whose band is 0.
     """
     return (
+        *_hot_keys(table, key, f", min(t.{order}) as low, max(t.{order}) as high"),
         (
-            "hot_keys",
+            "banded",
             f"""
-            select {key} as hot_key, count(*) as hot_rows, min({order}) as low, max({order}) as high,
-                   cast(ceil(count(*) * {PIECES} / (select count(*) from {table})) as bigint) as pieces
-            from {table} group by {key}
-            having count(*) * {HOT_SHARE} > (select count(*) from {table})
+            select /*+ broadcast(h) */ t.*, h.hot_rows,
+                   coalesce(width_bucket(t.{order} - h.low, h.low - h.low, h.high - h.low, h.pieces), 0) as band
+            from {table} t left join hot_keys h on t.{key} <=> h.hot_key
             """,
         ),
+    )
+
+
+def _hot_keys(table: str, key: str, more: str) -> tuple[Step, ...]:
+    bucket = f"pmod(xxhash64(t.{key}), {BUCKETS})"
+    is_heavy = f"having count(*) > greatest({HOT_ROWS}, (select count(*) from {table}) / {HOT_SHARE})"
+    return (
+        ("heavy_buckets", f"select {bucket} as bucket from {table} t group by {bucket} {is_heavy}"),
         (
-            "banded",
+            "hot_keys",
             f"""
-            select /*+ broadcast(h) */ t.*, h.hot_rows,
-                   coalesce(width_bucket({order} - h.low, h.low - h.low, h.high - h.low, h.pieces), 0) as band
-            from {table} t left join hot_keys h on t.{key} = h.hot_key
+            select /*+ broadcast(b) */ t.{key} as hot_key, count(*) as hot_rows,
+                   cast(ceil(count(*) * {PIECES} / (select count(*) from {table})) as bigint) as pieces{more}
+            from {table} t left semi join heavy_buckets b on {bucket} = b.bucket
+            group by t.{key} {is_heavy}
             """,
         ),
     )

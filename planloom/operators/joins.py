@@ -207,7 +207,7 @@ QUERIES = [
                 """
                 select event_id, user_id, ts, event_type = 'purchase' as is_purchase,
                        case when event_type = 'view' then event_id end as view_id
-                from events where event_type in ('view', 'purchase')
+                from events where event_type = 'purchase' or (event_type = 'view' and user_id is not null)
                 """,
             ),
             *banded("activity", "user_id", "ts"),
@@ -231,7 +231,7 @@ QUERIES = [
                                     partition by b.user_id, b.band order by b.ts, b.event_id
                                     rows between unbounded preceding and current row),
                                 k.carried_view) as view_id
-                from banded b left join carried k on b.user_id = k.user_id and b.band = k.band
+                from banded b left join carried k on b.user_id <=> k.user_id and b.band = k.band
                 """,
             ),
             ("result", "select event_id as purchase_id, user_id, view_id from latest where is_purchase"),

@@ -104,7 +104,7 @@ QUERIES = [
         "f6_correlated_scalar_subquery",
         ("orders",),
         (
-            hot_keys("orders", "o_custkey"),
+            *hot_keys("orders", "o_custkey"),
             (
                 "salted_orders",
                 """

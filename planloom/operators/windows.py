@@ -32,7 +32,7 @@ QUERIES = [
                        row_number() over price_then_key + coalesce(d.orders_above, 0) as rn,
                        rank() over price + coalesce(d.orders_above, 0) as rnk,
                        dense_rank() over price + coalesce(d.prices_above, 0) as dense
-                from banded b left join dearer d on b.o_custkey = d.o_custkey and b.band = d.band
+                from banded b left join dearer d on b.o_custkey <=> d.o_custkey and b.band = d.band
                 window price as (partition by b.o_custkey, b.band order by b.o_totalprice desc),
                        price_then_key as (partition by b.o_custkey, b.band
                                           order by b.o_totalprice desc, b.o_orderkey)
@@ -72,7 +72,7 @@ QUERIES = [
                        ntile(4) over price_then_key as tile,
                        percent_rank() over price as pct,
                        cume_dist() over price as cume
-                from banded b left join cheaper c on b.o_custkey = c.o_custkey and b.band = c.band
+                from banded b left join cheaper c on b.o_custkey <=> c.o_custkey and b.band = c.band
                 window price as (partition by b.o_custkey, b.band order by b.o_totalprice),
                        price_then_key as (partition by b.o_custkey, b.band order by b.o_totalprice, b.o_orderkey)
                 """,
@@ -90,9 +90,9 @@ QUERIES = [
                        end as tile,
                        round(case when hot_rows is null then pct
                                   when hot_rows = 1 then 0.0D
-                                  else hot_below / (hot_rows - 1) end, 6) as pct,
+                                  else hot_below / (hot_rows - 1) end, 12) as pct,
                        round(case when hot_rows is null then cume
-                                  else hot_not_above / hot_rows end, 6) as cume
+                                  else hot_not_above / hot_rows end, 12) as cume
                 from placed
                 """,
             ),
@@ -100,8 +100,8 @@ QUERIES = [
         """
         select o_orderkey, o_custkey,
                ntile(4) over (partition by o_custkey order by o_totalprice, o_orderkey) as tile,
-               round(percent_rank() over (partition by o_custkey order by o_totalprice), 6) as pct,
-               round(cume_dist() over (partition by o_custkey order by o_totalprice), 6) as cume
+               round(percent_rank() over (partition by o_custkey order by o_totalprice), 12) as pct,
+               round(cume_dist() over (partition by o_custkey order by o_totalprice), 12) as cume
         from orders
         """,
     ),
@@ -135,7 +135,7 @@ QUERIES = [
                 select e.user_id, e.band, s.second_id,
                        lag(e.tail) over in_time as before, lead(e.head) over in_time as after,
                        first_value(e.head) over whole as opening, last_value(e.tail) over whole as closing
-                from band_ends e left join second_event s on e.user_id = s.user_id
+                from band_ends e left join second_event s on e.user_id <=> s.user_id
                 window in_time as (partition by e.user_id order by e.band),
                        whole as (partition by e.user_id order by e.band
                                  rows between unbounded preceding and unbounded following)
@@ -156,7 +156,7 @@ QUERIES = [
                             else s.closing.value end as last_value,
                        case when s.band is null then nth_value(b.event_id, 2) over whole
                             else s.second_id end as second_event
-                from banded b left join surroundings s on b.user_id = s.user_id and b.band = s.band
+                from banded b left join surroundings s on b.user_id <=> s.user_id and b.band = s.band
                 window in_time as (partition by b.user_id, b.band order by b.ts, b.event_id),
                        whole as (partition by b.user_id, b.band order by b.ts, b.event_id
                                  rows between unbounded preceding and unbounded following)
@@ -214,8 +214,8 @@ QUERIES = [
                 from (select t.user_id, t.event_id, t.ts, t.value,
                              explode(array(e.rows_before + e.n - t.from_end + 1,
                                            e.rows_before + e.n - t.from_end + 2)) as reaches
-                      from tails t join earlier e on t.user_id = e.user_id and t.band = e.band) t
-                     join earlier e on t.user_id = e.user_id and t.reaches = e.rows_before
+                      from tails t join earlier e on t.user_id <=> e.user_id and t.band = e.band) t
+                     join earlier e on t.user_id <=> e.user_id and t.reaches = e.rows_before
                 """,
             ),
             (
@@ -236,7 +236,7 @@ QUERIES = [
                        + coalesce(e.total_before, 0.0D) as running,
                        avg(x.value) over (partition by x.user_id, x.band order by x.ts, x.event_id
                                           rows between 2 preceding and current row) as moving
-                from extended x left join earlier e on x.user_id = e.user_id and x.band = e.band
+                from extended x left join earlier e on x.user_id <=> e.user_id and x.band = e.band
                 """,
             ),
             (
@@ -262,17 +262,17 @@ QUERIES = [
         "w5_trailing_hour",
         ("events",),
         (
-            hot_keys("events", "user_id"),
+            *hot_keys("events", "user_id"),
             ("hourly", "select event_id, user_id, ts, window(ts, '1 hour').start as hour from events"),
             (
                 "spread",
                 """
                 select event_id, user_id, ts, own_hour, explode(hours) as frame_hour
                 from (select /*+ broadcast(k) */ e.event_id, e.user_id, e.ts,
-                             case when k.hot_key is not null then e.hour end as own_hour,
-                             case when k.hot_key is not null then array(e.hour, e.hour + interval 1 hour)
+                             case when k.hot_rows is not null then e.hour end as own_hour,
+                             case when k.hot_rows is not null then array(e.hour, e.hour + interval 1 hour)
                                   else array(cast(null as timestamp_ntz)) end as hours
-                      from hourly e left join hot_keys k on e.user_id = k.hot_key)
+                      from hourly e left join hot_keys k on e.user_id <=> k.hot_key)
                 """,
             ),
             (
@@ -309,12 +309,12 @@ QUERIES = [
         "w7_share",
         ("orders",),
         (
-            hot_keys("orders", "o_custkey"),
+            *hot_keys("orders", "o_custkey"),
             (
                 "hot_totals",
                 """
                 select /*+ broadcast(h) */ h.hot_key, h.pieces, sum(o.o_totalprice) as total
-                from orders o join hot_keys h on o.o_custkey = h.hot_key group by h.hot_key, h.pieces
+                from orders o join hot_keys h on o.o_custkey <=> h.hot_key group by h.hot_key, h.pieces
                 """,
             ),
             (
@@ -322,7 +322,7 @@ QUERIES = [
                 """
                 select /*+ broadcast(t) */ o.o_orderkey, o.o_custkey, o.o_totalprice, t.total,
                        coalesce(pmod(xxhash64(o.o_orderkey), t.pieces), 0) as salt
-                from orders o left join hot_totals t on o.o_custkey = t.hot_key
+                from orders o left join hot_totals t on o.o_custkey <=> t.hot_key
                 """,
             ),
             (
@@ -330,14 +330,14 @@ QUERIES = [
                 """
                 select o_orderkey, o_custkey,
                        round(o_totalprice / coalesce(
-                           total, sum(o_totalprice) over (partition by o_custkey, salt)), 6) as share
+                           total, sum(o_totalprice) over (partition by o_custkey, salt)), 12) as share
                 from salted
                 """,
             ),
         ),
         """
         select o_orderkey, o_custkey,
-               round(o_totalprice / sum(o_totalprice) over (partition by o_custkey), 6) as share
+               round(o_totalprice / sum(o_totalprice) over (partition by o_custkey), 12) as share
         from orders
         """,
     ),
