@@ -1,12 +1,12 @@
 """The catalogue: every query as a plan, with an oracle wherever SQL can express one."""
 
-from planloom.operators import aggregates, flows, joins, ordering, projections, scalars, windows
+from planloom.operators import aggregates, flows, joins, more_sql, ordering, projections, scalars, windows
 from planloom.operators.flows import Flow
 from planloom.operators.query import Query
 
 CATALOGUE: dict[str, Query | Flow] = {
     query.name: query
-    for module in (projections, joins, aggregates, windows, ordering, scalars)
+    for module in (projections, joins, aggregates, windows, ordering, scalars, more_sql)
     for query in module.QUERIES
 } | {flow.name: flow for flow in flows.FLOWS}
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 
 from planloom.plans.model import PlanError, Storage
@@ -10,6 +12,8 @@ from planloom.sources.lake import lake_settings, locations
 
 __all__ = ["AccessToken", "connection_properties", "lake_settings", "locations", "read_storage"]
 
+log = logging.getLogger(__name__)
+
 
 def _read_csv(session: SparkSession, storage: Storage, _: AccessToken) -> DataFrame:
     reader = session.read.options(**storage.options)
@@ -27,7 +31,9 @@ def _read_parquet(session: SparkSession, storage: Storage, _: AccessToken) -> Da
 
 def _read_jdbc(session: SparkSession, storage: Storage, access_token: AccessToken) -> DataFrame:
     # partitionColumn, lowerBound, upperBound and numPartitions arrive as options and split
-    # the scan into that many range queries; without them one task reads the whole table.
+    # the scan into that many range queries.
+    if "partitioncolumn" not in map(str.lower, storage.options):
+        log.warning("one task will read all of %s: set partitionColumn and its bounds", storage)
     properties = connection_properties(storage.options, access_token)
     return session.read.options(**storage.options).jdbc(storage.uri, storage.table, properties=properties)
 

@@ -33,8 +33,19 @@ def test_approximate_distinct_is_close(spark, oracle):
     assert all(abs(estimate[key] - exact[key]) <= 0.05 * exact[key] for key in exact)
 
 
-def test_only_the_estimate_lacks_an_oracle():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {"a10_approximate_distinct"}
+def test_approximate_percentiles_are_within_rank_error(spark, oracle):
+    for row in CATALOGUE["a23_approximate_percentiles"](spark, SCALE).collect():
+        for share, value in ((0.1, row.p10), (0.5, row.p50), (0.9, row.p90)):
+            below, up_to = oracle.execute(
+                "select avg((value < ?)::int), avg((value <= ?)::int) from events where event_type = ?",
+                [value, value, row.event_type],
+            ).fetchone()
+            assert below - 0.001 <= share <= up_to + 0.001
+
+
+def test_only_estimates_lack_an_oracle():
+    assert set(contract.queries()) - set(contract.oracle_sql()) == {
+        "a10_approximate_distinct", "a23_approximate_percentiles"}
 
 
 def test_entry(spark):

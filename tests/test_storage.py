@@ -119,11 +119,13 @@ class TestJdbc:
         assert bag(read_storage(spark, self.storage(database))) == [(1, "x")]
 
     def test_truncate_keeps_the_table(self, spark, database):
-        write_storage(spark.sql("select cast(1 as smallint) as a"), self.storage(database))
-        write_storage(spark.sql("select 7 as a"), self.storage(database, truncate=True))
-        frame = read_storage(spark, self.storage(database))
-        assert frame.dtypes == [("A", "smallint")] or frame.dtypes == [("a", "smallint")]
-        assert bag(frame) == [(7,)]
+        typed = self.storage(database, createTableColumnTypes="a decimal(10, 2)")
+        write_storage(spark.sql("select cast(1 as decimal(10, 2)) as a"), typed)
+        frame = spark.sql("select cast(7 as decimal(5, 1)) as a")
+        for options, kind in (({"truncate": True}, "decimal(10,2)"), ({}, "decimal(5,1)")):
+            write_storage(frame, self.storage(database, **options))
+            stored = read_storage(spark, self.storage(database))
+            assert stored.dtypes == [("a", kind)] and bag(stored) == [(7,)]
 
     def test_append_mode(self, spark, database):
         write_storage(spark.range(5), self.storage(database))
