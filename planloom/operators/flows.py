@@ -170,27 +170,26 @@ def partitioned_detail(spark: SparkSession, table_dir: str) -> DataFrame:
 
 
 def two_targets(spark: SparkSession, table_dir: str) -> DataFrame:
-    """Three inputs, two views, one target of each file kind."""
+    """Three inputs, two views, one target of each file kind; what both need is computed once."""
     folder = new_folder(spark, "two_targets")
-    _run(
-        spark,
+    plan = _plan(
         [_table(table_dir, table) for table in ("orders", "customer", "nation")],
         {
-            "by_nation": """
-            select /*+ broadcast(n) */ n.n_name as name, sum(o.orders) as orders
-            from (select o_custkey, count(*) as orders from orders group by o_custkey) o
-                 join customer c on o.o_custkey = c.c_custkey join nation n on c.c_nationkey = n.n_nationkey
-            group by n.n_name
-            """,
-            "by_segment": """
-            select c.c_mktsegment as name, sum(o.orders) as orders
+            "customer_orders": """
+            select c.c_nationkey, c.c_mktsegment, sum(o.orders) as orders
             from (select o_custkey, count(*) as orders from orders group by o_custkey) o
                  join customer c on o.o_custkey = c.c_custkey
-            group by c.c_mktsegment
+            group by c.c_nationkey, c.c_mktsegment
+            """,
+            "by_nation": """
+            select /*+ broadcast(n) */ n.n_name as name, sum(o.orders) as orders
+            from customer_orders o join nation n on o.c_nationkey = n.n_nationkey group by n.n_name
             """,
+            "by_segment": "select c_mktsegment as name, sum(orders) as orders from customer_orders group by c_mktsegment",
         },
         [("by_nation", _csv(f"{folder}/nation")), ("by_segment", _parquet(f"{folder}/segment"))],
     )
+    run_plan(spark, plan, share=["customer_orders"])
     return _view(
         spark,
         [_csv(f"{folder}/nation", "nations", schema="name string, orders bigint"),

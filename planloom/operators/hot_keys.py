@@ -53,16 +53,17 @@ def banded(table: str, key: str, order: str) -> tuple[Step, ...]:
 
 def _hot_keys(table: str, key: str, more: str) -> tuple[Step, ...]:
     bucket = f"pmod(xxhash64(t.{key}), {BUCKETS})"
-    is_heavy = f"having count(*) > greatest({HOT_ROWS}, (select count(*) from {table}) / {HOT_SHARE})"
+    least = f"greatest({HOT_ROWS}, (select sum(n) from bucket_counts) / {HOT_SHARE})"
     return (
-        ("heavy_buckets", f"select {bucket} as bucket from {table} t group by {bucket} {is_heavy}"),
+        ("bucket_counts", f"select {bucket} as bucket, count(*) as n from {table} t group by {bucket}"),
+        ("heavy_buckets", f"select bucket from bucket_counts where n > {least}"),
         (
             "hot_keys",
             f"""
             select /*+ broadcast(b) */ t.{key} as hot_key, count(*) as hot_rows,
-                   cast(ceil(count(*) * {PIECES} / (select count(*) from {table})) as bigint) as pieces{more}
+                   cast(ceil(count(*) * {PIECES} / (select sum(n) from bucket_counts)) as bigint) as pieces{more}
             from {table} t left semi join heavy_buckets b on {bucket} = b.bucket
-            group by t.{key} {is_heavy}
+            group by t.{key} having count(*) > {least}
             """,
         ),
     )

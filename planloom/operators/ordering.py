@@ -37,13 +37,14 @@ QUERIES = [
         intersect select l_orderkey from lineitem where l_returnflag = 'R'
         """,
     ),
-    # The ALL forms shuffle one row and a count per distinct value; copies are made afterwards.
+    # The ALL forms shuffle one row and a count per distinct value, then repeat each value. The
+    # values are pairs, so that the copies of one heavy part or customer come from many tasks.
     one_step(
         "u4_intersect_all",
-        "orders",
+        "lineitem",
         """
-        select o_custkey, o_orderpriority from orders where o_orderstatus = 'F'
-        intersect all select o_custkey, o_orderpriority from orders where o_orderstatus = 'O'
+        select l_partkey, l_suppkey from lineitem where l_returnflag = 'R'
+        intersect all select l_partkey, l_suppkey from lineitem where l_returnflag = 'N'
         """,
     ),
     one_step(
@@ -56,10 +57,10 @@ QUERIES = [
     ),
     one_step(
         "u6_except_all",
-        "customer supplier",
+        "orders",
         """
-        select c_nationkey as nationkey from customer
-        except all select s_nationkey from supplier
+        select o_custkey, o_orderdate from orders
+        except all select o_custkey, o_orderdate from orders where o_orderstatus = 'F'
         """,
     ),
 ]

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import logging
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.storagelevel import StorageLevel
 
-from planloom.plans import Plan, check_plan
+from planloom.plans import Plan, Storage, check_plan
 from planloom.sinks import write_storage
 from planloom.sources import AccessToken, lake_settings, read_storage
 
@@ -67,9 +68,9 @@ def open_plan(
     session = _own_session(spark)
     for key, value in lake_settings(plan, sas_tokens).items():
         session.conf.set(key, value)
-    for source in plan.inputs:
+    for source, frame in zip(plan.inputs, _read_all(session, plan.inputs, access_token), strict=True):
         log.debug("registering %s", source)
-        read_storage(session, source, access_token).createOrReplaceTempView(source.id)
+        frame.createOrReplaceTempView(source.id)
     for step in plan.transformations:
         log.debug("registering view %s", step.id)
         session.sql(step.sql).createOrReplaceTempView(step.id)
@@ -90,6 +91,27 @@ def run_plan(
     return opened
 
 
+def _read_all(session: SparkSession, inputs: Sequence[Storage], access_token: AccessToken) -> list[DataFrame]:
+    """All inputs at once: listing files and reading footers or headers is mostly waiting."""
+    outcomes: dict[int, DataFrame | Exception] = {}
+
+    def read(position: int) -> None:
+        try:
+            outcomes[position] = read_storage(session, inputs[position], access_token)
+        except Exception as error:
+            outcomes[position] = error
+
+    threads = [InheritableThread(read, session=session, args=(position,)) for position in range(len(inputs))]
+    for thread in threads:
+        thread.start()
+    for thread in threads:
+        thread.join()
+    for position in range(len(inputs)):
+        if isinstance(outcomes[position], Exception):
+            raise outcomes[position]
+    return [outcomes[position] for position in range(len(inputs))]
+
+
 def _own_session(spark: SparkSession) -> SparkSession:
     """A session with its own views and functions and the caller's current settings.
 
