@@ -235,8 +235,7 @@ QUERIES = [
             (
                 "half_hours",
                 """
-                select user_id, min(ts) as first_ts, count(*) as n, round(sum(value), 2) as total,
-                       extract(second from max(ts) - min(ts)) + 60 * extract(minute from max(ts) - min(ts)) as seconds
+                select user_id, min(ts) as first_ts, max(ts) - min(ts) as covered, count(*) as n, sum(value) as total
                 from events group by user_id, window(ts, '30 minutes')
                 """,
             ),
@@ -246,7 +245,8 @@ QUERIES = [
                 select user_id, session_window.start as session_start, session_window.end as session_end,
                        sum(n) as events, round(sum(total), 2) as total
                 from half_hours
-                group by user_id, session_window(first_ts, make_interval(0, 0, 0, 0, 0, 30, seconds))
+                group by user_id, session_window(first_ts, make_interval(
+                    0, 0, 0, 0, 0, 30 + extract(minute from covered), extract(second from covered)))
                 """,
             ),
         ),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -38,5 +39,5 @@ def new_table(spark: SparkSession, name: str) -> tuple[str, str, dict[str, str]]
 
 
 def _require_local(spark: SparkSession, setting: str) -> None:
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError(f"{setting} must name a place all executors can reach")
