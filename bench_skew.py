@@ -27,10 +27,9 @@ def skewed_tables(spark: SparkSession, table_dir: str, copies: int, out: str) ->
 
     for table, row, key in (("orders", "o_orderkey", "o_custkey"), ("events", "event_id", "user_id")):
         rows = spark.read.parquet(f"{table_dir}/{table}.parquet")
-        copied = spark.range(copies).withColumnRenamed("id", "copy").hint("broadcast")
         repeated = (
             rows.repartition(64)
-            .crossJoin(copied)
+            .withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
             .withColumn("row", F.col(row) * copies + F.col("copy"))
             .withColumn(key, third_to_one(key))
             .withColumn(row, F.col("row"))

@@ -29,12 +29,13 @@ QUERIES = [
         "customer supplier",
         "select c_nationkey as nationkey from customer union select s_nationkey from supplier",
     ),
+    # Spark compares with the right side as it comes; made distinct, it is reduced map-side first.
     one_step(
         "u3_intersect",
         "orders lineitem",
         """
         select o_orderkey as orderkey from orders where o_orderstatus = 'F'
-        intersect select l_orderkey from lineitem where l_returnflag = 'R'
+        intersect select distinct l_orderkey from lineitem where l_returnflag = 'R'
         """,
     ),
     # The ALL forms shuffle one row and a count per distinct value, then repeat each value. The
@@ -52,7 +53,7 @@ QUERIES = [
         "customer orders",
         """
         select c_custkey as custkey from customer
-        except select o_custkey from orders where o_totalprice > 450000
+        except select distinct o_custkey from orders where o_totalprice > 450000
         """,
     ),
     one_step(

@@ -46,6 +46,9 @@ class OpenPlan:
         same view compute it once; blocks lost with an executor are recomputed from the
         lineage. Sharing also makes those targets agree on current_timestamp().
         """
+        for target in self.plan.targets:
+            if _PLAIN_ID.fullmatch(target.from_sql_query.strip()):
+                self.relation(target.from_sql_query)  # an undefined view stops the run before the first write
         shared = [self.view(view_id).persist(StorageLevel.MEMORY_AND_DISK) for view_id in share]
         try:
             for target in self.plan.targets:

@@ -62,6 +62,15 @@ def test_rows_meet_their_window_by_key_and_piece(unbroadcast, name):
     assert re.search(r"hashpartitioning\(\w+#\d+L?, (band|salt)#\d+L?", text)
 
 
+@pytest.mark.parametrize(
+    "name", ["u3_intersect", "u5_except", "f4_in_subquery", "f5_not_exists", "j6_left_anti"])
+def test_the_probed_side_is_reduced_before_the_shuffle(unbroadcast, name):
+    lines = explain(CATALOGUE[name](unbroadcast, SMALL)).splitlines()
+    last_of_left = max(number for number, line in enumerate(lines) if re.match(r"\s*:", line))
+    right = "\n".join(lines[last_of_left + 1:])
+    assert re.search(r"Exchange hashpartitioning.*\n\s*\+- HashAggregate", right)
+
+
 def test_top_k_sorts_no_whole_table(spark):
     assert "TakeOrderedAndProject" in explain(CATALOGUE["s1_top_k"](spark, SMALL))
 

@@ -139,10 +139,18 @@ def test_trf5_target_fragments(spark, numbers, fragment, expected):
 
 def test_trf5_undefined_view(spark, numbers, tmp_path):
     with pytest.raises(AnalysisException):
-        run_plan(spark, plan_of([numbers], targets=[("nothing", parquet(tmp_path / "o"))]))
+        run_plan(spark, plan_of([numbers], targets=[("numbers", parquet(tmp_path / "o")),
+                                                    ("nothing", parquet(tmp_path / "o"))]))
     assert not (tmp_path / "o").exists()
 
 
+def test_trf5_a_target_may_read_what_an_earlier_one_wrote(spark, numbers, tmp_path):
+    out = tmp_path / "first"
+    run_plan(spark, plan_of([numbers], targets=[("numbers", parquet(out)),
+                                                (f"parquet.`{out}` where id > 0", parquet(tmp_path / "second"))]))
+    assert spark.read.parquet(str(tmp_path / "second")).count() == 2
+
+
 def test_trf6_statements_become_views(spark, numbers):
     opened = open_plan(spark, plan_of([numbers], [
         ("conf", "set spark.sql.shuffle.partitions = 3"),
