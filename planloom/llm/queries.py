@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from planloom.llm.minhash import near_duplicates
+from planloom.llm.suffix import without_repeats
 
 
 def _table(spark: SparkSession, table_dir: str, name: str) -> DataFrame:
@@ -16,8 +18,20 @@ def op1_minhash_near_dedup(spark: SparkSession, table_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, table_dir, "documents"), width=2, percent=80)
 
 
+def op10_suffix_dedup(spark: SparkSession, table_dir: str) -> DataFrame:
+    """Bytes of all documents without the 200-byte strings that start anywhere else."""
+    return without_repeats(_table(spark, table_dir, "documents"), length=200).select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept_bytes", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLES: dict[str, str] = {}

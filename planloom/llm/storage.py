@@ -14,5 +14,5 @@ def saved(frame: DataFrame, name: str) -> DataFrame:
     spark.checkpoint.dir. They stay until that folder is cleared, since the result is lazy.
     """
     path = new_folder(frame.sparkSession, name)
-    frame.write.parquet(path)
+    frame.write.option("compression", "zstd").parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
