@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from planloom.llm.chat import loss_texts, messages, read_back, rendered
 from planloom.llm.minhash import near_duplicates
+from planloom.llm.mixing import mix
+from planloom.llm.packing import packed
 from planloom.llm.suffix import without_repeats
 from planloom.llm.tokens import token_counts
 
@@ -32,6 +34,16 @@ def op3_token_counts(spark: SparkSession, table_dir: str) -> DataFrame:
     return token_counts(_table(spark, table_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=1024)
 
 
+def op5_pfair_mixing(spark: SparkSession, table_dir: str) -> DataFrame:
+    """All documents in a mix of their sources weighted by the square root of their bytes."""
+    return mix(_table(spark, table_dir, "documents"), power=0.5, block_bytes=65536)
+
+
+def op7_length_bucket_packing(spark: SparkSession, table_dir: str) -> DataFrame:
+    """All documents in batches of 65,536 padded tokens from 16 length buckets."""
+    return packed(_table(spark, table_dir, "documents"), buckets=16, budget=65536)
+
+
 # Characters of a streamed piece of an assistant's answer.
 DELTA = 512
 
@@ -115,6 +127,8 @@ QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_token_counts": op3_token_counts,
     "op6_chat_formatting": op6_chat_formatting,
+    "op5_pfair_mixing": op5_pfair_mixing,
+    "op7_length_bucket_packing": op7_length_bucket_packing,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
