@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planloom.llm.chat import loss_texts, messages, read_back, rendered
+from planloom.llm.embeddings import linked_vectors
 from planloom.llm.minhash import near_duplicates
 from planloom.llm.mixing import mix
 from planloom.llm.packing import packed
@@ -112,6 +113,11 @@ OP6_SQL = r"""
 """
 
 
+def op9_embedding_near_dedup(spark: SparkSession, table_dir: str) -> DataFrame:
+    """Near-duplicate groups of all vectors at cosine 0.98."""
+    return linked_vectors(_table(spark, table_dir, "embeddings"), cosine=0.98)
+
+
 def op10_suffix_dedup(spark: SparkSession, table_dir: str) -> DataFrame:
     """Bytes of all documents without the 200-byte strings that start anywhere else."""
     return without_repeats(_table(spark, table_dir, "documents"), length=200).select(
@@ -129,6 +135,7 @@ QUERIES = {
     "op6_chat_formatting": op6_chat_formatting,
     "op5_pfair_mixing": op5_pfair_mixing,
     "op7_length_bucket_packing": op7_length_bucket_packing,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
