@@ -10,8 +10,11 @@ from planloom.llm.embeddings import linked_vectors
 from planloom.llm.minhash import near_duplicates
 from planloom.llm.mixing import mix
 from planloom.llm.packing import packed
+from planloom.llm.quality import quality_scores
+from planloom.llm.rules import judged
 from planloom.llm.suffix import without_repeats
 from planloom.llm.tokens import token_counts
+from planloom.llm.warc import derivatives, responses
 
 
 def _table(spark: SparkSession, table_dir: str, name: str) -> DataFrame:
@@ -23,6 +26,11 @@ def op1_minhash_near_dedup(spark: SparkSession, table_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, table_dir, "documents"), width=2, percent=80)
 
 
+def op2_quality_classifier(spark: SparkSession, table_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    return quality_scores(_table(spark, table_dir, "documents"), _table(spark, table_dir, "labels"))
+
+
 def tokenizer_file(name: str) -> str:
     """Where the box keeps a public tokenizer's file."""
     import public_tokenizers
@@ -35,6 +43,11 @@ def op3_token_counts(spark: SparkSession, table_dir: str) -> DataFrame:
     return token_counts(_table(spark, table_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), limit=1024)
 
 
+def op4_quality_rules(spark: SparkSession, table_dir: str) -> DataFrame:
+    """All documents judged by the base rules and the learned decision list."""
+    return judged(_table(spark, table_dir, "documents"), _table(spark, table_dir, "labels"))
+
+
 def op5_pfair_mixing(spark: SparkSession, table_dir: str) -> DataFrame:
     """All documents in a mix of their sources weighted by the square root of their bytes."""
     return mix(_table(spark, table_dir, "documents"), power=0.5, block_bytes=65536)
@@ -113,6 +126,11 @@ OP6_SQL = r"""
 """
 
 
+def op8_warc_derivatives(spark: SparkSession, table_dir: str) -> DataFrame:
+    """Conversion and metadata records of all pages."""
+    return derivatives(responses(_table(spark, table_dir, "pages")))
+
+
 def op9_embedding_near_dedup(spark: SparkSession, table_dir: str) -> DataFrame:
     """Near-duplicate groups of all vectors at cosine 0.98."""
     return linked_vectors(_table(spark, table_dir, "embeddings"), cosine=0.98)
@@ -131,10 +149,13 @@ def op10_suffix_dedup(spark: SparkSession, table_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_token_counts": op3_token_counts,
     "op6_chat_formatting": op6_chat_formatting,
+    "op4_quality_rules": op4_quality_rules,
     "op5_pfair_mixing": op5_pfair_mixing,
     "op7_length_bucket_packing": op7_length_bucket_packing,
+    "op8_warc_derivatives": op8_warc_derivatives,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
