@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from planloom.llm.components import components
@@ -187,3 +187,28 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .select("a", "b")
         .distinct()
     )
+
+
+def distinct_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs` that `near_duplicates` keeps, with all their columns: one document of each group.
+
+    Of repeated rows one stays; rows that share a doc_id but not a text all stay where their doc_id does. Rows
+    with a null doc_id stay, but once for each text.
+    """
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    kept = near_duplicates(docs, width, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("key")).distinct()
+    # Rows without id are spread by their texts.
+    rows = docs.select(
+        F.struct("*").alias("doc"),
+        doc_id.isNull().alias("unnamed"),
+        F.coalesce(doc_id, F.xxhash64(text)).alias("key"),
+        F.xxhash64(text).alias("text_hash"),
+    )
+    same = Window.partitionBy("key", "unnamed", "text_hash").orderBy(F.lit(0))
+    return (
+        rows.join(kept.withColumn("chosen", F.lit(True)), "key", "left")
+        .where("unnamed or chosen")
+        .withColumn("copy", F.row_number().over(same))
+        .where("copy = 1")
+        .select("doc.*")
+    )

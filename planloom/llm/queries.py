@@ -139,7 +139,7 @@ def op9_embedding_near_dedup(spark: SparkSession, table_dir: str) -> DataFrame:
 def op10_suffix_dedup(spark: SparkSession, table_dir: str) -> DataFrame:
     """Bytes of all documents without the 200-byte strings that start anywhere else."""
     return without_repeats(_table(spark, table_dir, "documents"), length=200).select(
-        "doc_id",
+        "doc.doc_id",
         "n_bytes",
         "n_removed",
         F.size("spans").cast("long").alias("n_spans"),

@@ -132,6 +132,10 @@ def first_rule(rules: list[Rule]) -> Column:
     return number
 
 
+def _base_failed() -> Column:
+    return F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words")
+
+
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rule for each row of `docs`.
 
@@ -142,13 +146,23 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Null and empty texts have no words and fail. Repeated rows and null doc_ids are rows as any other.
     """
-    rules = learned_rules(*labelled_sample(docs, labels, "quality", SAMPLE))
-    rows = described(docs, doc_id="long").withColumn("rule", first_rule(rules))
-    failed = F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words")
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    rows = _ruled(docs, labels, "doc_id")
     return rows.select(
         "doc_id",
         *(F.col(name).cast("long").alias(name) for name in COUNTS),
-        failed.alias("base_failed"),
-        (~failed & (F.col("rule") == 0)).alias("kept"),
+        _base_failed().alias("base_failed"),
+        (~_base_failed() & (F.col("rule") == 0)).alias("kept"),
         "rule",
     )
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `docs` that `judged` keeps, with all their columns. No shuffle: rows are judged where they are read."""
+    whole = docs.select(F.struct("*").alias("doc"), F.col("doc_id"), F.col("text"))
+    return _ruled(whole, labels, "doc").where(~_base_failed() & (F.col("rule") == 0)).select("doc.*")
+
+
+def _ruled(docs: DataFrame, labels: DataFrame, *keep: str) -> DataFrame:
+    rules = learned_rules(*labelled_sample(docs, labels, "quality", SAMPLE))
+    return described(docs, *keep).withColumn("rule", first_rule(rules))

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from planloom.llm.words import BASE, SPACE, byte_rows, mixed, prefix_hashes, span_hashes, word_spans
 
@@ -125,12 +126,11 @@ def _described(batches: Iterator[pa.RecordBatch], kept: tuple[str, ...]) -> Iter
         yield pa.RecordBatch.from_arrays([batch.column(name) for name in kept] + columns, list(kept + NAMES))
 
 
-def described(docs: DataFrame, **keep: str) -> DataFrame:
-    """The columns named in `keep` (name=type) and the statistics of `text`, as doubles. A null text has no words."""
-    kinds = ", ".join([f"{name} {kind}" for name, kind in keep.items()] + [f"{name} double" for name in NAMES])
-    kept = tuple(keep)
-    rows = docs.select(*(F.col(name).cast(kind) for name, kind in keep.items()), F.col("text").cast("string"))
-    return rows.mapInArrow(lambda batches: _described(batches, kept), kinds)
+def described(docs: DataFrame, *keep: str) -> DataFrame:
+    """The columns named in `keep` and the statistics of `text`, as doubles. A null text has no words."""
+    rows = docs.select(*keep, F.col("text").cast("string"))
+    kinds = StructType([rows.schema[name] for name in keep] + [StructField(name, DoubleType()) for name in NAMES])
+    return rows.mapInArrow(lambda batches: _described(batches, keep), kinds)
 
 
 def held_out(doc_id: str) -> Column:
@@ -148,6 +148,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, size: int) -
     chosen = known.groupBy("labelled").agg(F.min("label").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("labelled"), "labelled").limit(size)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))
-    table = described(rows, label="int").toArrow()
+    table = described(rows, "label").toArrow()
     features = np.column_stack([table.column(name).to_numpy() for name in NAMES]) if table.num_rows else np.zeros((0, len(NAMES)))
     return features, np.asarray(table.column("label").to_pylist(), dtype=np.int64)

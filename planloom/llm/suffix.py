@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from planloom.llm.storage import saved
 from planloom.llm.words import BASE, byte_rows, mixed, prefix_hashes, span_hashes
@@ -106,14 +107,16 @@ def _parts(items: list, size: int = 512) -> Iterator[list]:
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed for the shuffles: (doc_id, key, n_bytes, packed)."""
+    """Texts compressed for the shuffles: (doc, key, n_bytes, packed)."""
     for batch in batches:
         texts = [data.tobytes() for data in byte_rows(batch.column("text"))]
-        packed = [pa.compress(text, codec="zstd", asbytes=True) if text else b"" for text in texts]
+        there = batch.column("text").is_valid().to_pylist()
+        packed = [pa.compress(text, codec="zstd", asbytes=True) if text else b"" if known else None
+                  for text, known in zip(texts, there, strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("key"), pa.array(map(len, texts), pa.int64()),
+            [batch.column("doc"), batch.column("key"), pa.array(map(len, texts), pa.int64()),
              pa.array(packed, pa.binary())],
-            ["doc_id", "key", "n_bytes", "packed"],
+            ["doc", "key", "n_bytes", "packed"],
         )
 
 
@@ -235,44 +238,39 @@ def _covered(repeated: np.ndarray, size: int, length: int) -> np.ndarray:
 def _finished(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for doc_id, key, data, settled, found in zip(
-            batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), _unpacked(batch),
-            _lists(batch.column("settled")), batch.column("found").to_pylist(), strict=True,
-        ):
+        for data, settled, found in zip(
+            _unpacked(batch), _lists(batch.column("settled")), batch.column("found").to_pylist(), strict=True
+        ):
             kept, spans = data, []
             if len(settled) or found:
                 covered = _covered(_repeated_starts(Phrases(data, length), settled, found), len(data), length)
                 kept = data[~covered]
                 edges = np.flatnonzero(np.diff(covered.astype(np.int8), prepend=0, append=0))
                 spans = [{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()]
-            rows.append((doc_id, key, len(data), len(data) - len(kept), spans, kept.tobytes()))
+            rows.append((len(data), len(data) - len(kept), spans, kept.tobytes()))
         if rows:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(),
-                     pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
-                ["doc_id", "key", "n_bytes", "n_removed", "spans", "kept_bytes"],
+                [batch.column("doc"), batch.column("packed").is_null(), *columns],
+                ["doc", "no_text", "n_bytes", "n_removed", "spans", "kept_bytes"],
             )
 
 
-FINISHED = (
-    "doc_id long, key long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept_bytes binary"
-)
+FINISHED = "no_text boolean, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept_bytes binary"
 
 
 def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
-    """doc_id, key, n_bytes, n_removed, spans (removed [start, end) byte ranges), kept_bytes for each row.
+    """doc (the row as it came in, without its text), no_text (null), n_bytes, n_removed, spans (removed [start, end) byte ranges), kept_bytes.
 
-    `docs` has doc_id and text; other columns are ignored. Texts are judged as they come in, as UTF-8 bytes; a null text
+    `docs` has doc_id and text; other columns travel in `doc`. Texts are judged as they come in, as UTF-8 bytes; a null text
     is an empty one. Texts shorter than `length` bytes keep all. Repeated rows count as two places each, so
-    texts of copies of at least `length` bytes go altogether. doc_id may be null or repeated: rows are
-    told apart by it where it can be, and what holds for a string holds wherever it is. `key` is the doc_id, or a hash of
-    the text where that is null.
+    texts of copies of at least `length` bytes go altogether. doc_id may be null or repeated: what holds for a string
+    holds wherever it is, so rows that share a doc_id can't take one another's strings.
     """
-    text = F.col("text").cast("string")
-    docs = docs.select(
-        F.col("doc_id").cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("key"), text.alias("text")
-    )
+    text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    others = [F.col(name) for name in docs.columns if name != "text"]
+    docs = docs.select(F.struct(*others).alias("doc"), F.coalesce(doc_id, F.xxhash64(text)).alias("key"), text.alias("text"))
     phrases = docs.select("text").mapInArrow(lambda x: _counted(x, length), "trigger long, phrase long")
     triggers = (
         phrases.groupBy("trigger", "phrase")
@@ -292,16 +290,44 @@ def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
         ),
         "suffix-marks",
     )
-    texts = docs.mapInArrow(_packed, "doc_id long, key long, n_bytes long, packed binary")
-    found = _found(texts, marks, length)
+    texts = docs.mapInArrow(_packed, _with_doc(docs, "key long, n_bytes long, packed binary"))
+    found = _found(texts.drop("doc"), marks, length)
     return (
         texts.join(marks.select("key", "settled"), "key", "left")
         .join(found, "key", "left")
-        .select("doc_id", "key", "n_bytes", "packed", "settled", "found")
-        .mapInArrow(lambda x: _finished(x, length), FINISHED)
+        .select("doc", "n_bytes", "packed", "settled", "found")
+        .mapInArrow(lambda x: _finished(x, length), _with_doc(docs, FINISHED))
+    )
+
+
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kept = zip(batch.column("kept_bytes").to_pylist(), batch.column("no_text").to_pylist(), strict=True)
+        texts = [None if missing else data.decode(errors="ignore") for data, missing in kept]
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(texts, pa.string())], ["doc", "text"])
+
+
+def cleaned_documents(docs: DataFrame, length: int = 200) -> DataFrame:
+    """The rows and columns of `docs` with repeated strings cut out of `text`, and n_chars, if there is one, counted anew.
+
+    Characters that lose some of their bytes go altogether. Null texts stay null, and so does their n_chars' value.
+    """
+    result = without_repeats(docs, length).select("doc", "no_text", "kept_bytes")
+    texts = result.mapInArrow(_decoded, _with_doc(result, "text string"))
+    chars = F.when(F.col("text").isNull(), F.col("doc.n_chars")).otherwise(F.length("text")) if "n_chars" in docs.columns else None
+    return texts.select(
+        *(
+            F.col("text") if name == "text" else chars.cast(docs.schema[name].dataType).alias(name) if name == "n_chars" else F.col(f"doc.`{name}`")
+            for name in docs.columns
+        )
     )
 
 
+def _with_doc(frame: DataFrame, others: str) -> StructType:
+    """A schema of the column `doc` of `frame` and others."""
+    return StructType([frame.schema["doc"], *StructType.fromDDL(others).fields])
+
+
 def _found(texts: DataFrame, marks: DataFrame, length: int) -> DataFrame:
     """(key, found): for the open phrases of each text, the repeated strings as bits of their blocks."""
     wanted = marks.where("size(open) > 0").select("key", "open")
