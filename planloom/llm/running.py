@@ -21,7 +21,8 @@ def running_sums(rows: DataFrame, group: str, order: str, weight: str) -> DataFr
     # Nulls are joined as values.
     named = rows.withColumn("_group", F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("")))
     pieces = named.groupBy("_group").agg(F.ceil(F.count("*") / PIECE_ROWS).alias("_pieces"))
-    share = F.shiftrightunsigned(order, 11) / F.lit(float(1 << 53))
+    # The hash as a share of its range, from the lowest negative number on.
+    share = F.shiftrightunsigned(F.col(order).bitwiseXOR(F.lit(-(1 << 63))), 11) / F.lit(float(1 << 53))
     cut = named.join(pieces, "_group").withColumn("_piece", F.floor(share * F.col("_pieces"))).drop("_pieces")
     earlier = Window.partitionBy("_group").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     sums = cut.groupBy("_group", "_piece").agg(F.sum(weight).alias("_sum"))

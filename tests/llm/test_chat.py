@@ -1,0 +1,118 @@
+"""Chat logs: folding of events, reversible rendering, and the query against SQL."""
+
+import random
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+from corpus_tables import rows_of
+from oracle import assert_same
+from pyspark.sql import functions as F
+
+import duckdb
+from planloom.llm import chat
+from planloom.llm.queries import ORACLES, QUERIES
+
+EVENTS = "conv_id long, seq long, turn long, kind string, role string, text string, extra string"
+HOSTILE = ["</s>", "<s>", "<\\s>", "<\\\\/s>", "[INST]", "[/INST]", "[\\/INST]", "<<s>", "\\", "<", "\n", "user", "</s", "[[INST]", "é", " ", ""]
+
+
+def folded(spark, events):
+    found = rows_of(chat.messages(spark.createDataFrame(events, EVENTS)))
+    return sorted(((r["conv_id"], r["turn"], r["role"], r["text"]) for r in found), key=repr)
+
+
+def test_events_fold_into_messages(spark):
+    events = [
+        (1, 1, 0, "message", "user", "hi", "x"),
+        (1, 3, 1, "delta", None, "lo", "x"),
+        (1, 2, 1, "message", "assistant", "hel", "x"),
+        (1, 4, 1, "regenerate", "assistant", "He", None),
+        (1, 5, 1, "delta", "assistant", "y", None),
+        (1, 6, 2, "message", "user", "old", None),
+        (1, 7, 3, "message", "assistant", "withdrawn", None),
+        (1, 8, 2, "edit", None, "new", None),
+        (1, 9, 3, "message", "assistant", "again", None),
+        (2, 1, 0, "delta", "user", "only ", None),
+        (2, 1, 0, "delta", "user", "only ", None),
+        (2, 2, 0, None, None, None, None),
+        (3, 5, 1, "message", "assistant", "before", None),
+        (3, 6, 0, "edit", "user", "all later turns go", None),
+        (None, 1, None, "odd", None, "no ids", None),
+    ]
+    assert folded(spark, events) == sorted([
+        (1, 0, "user", "hi"), (1, 1, "assistant", "Hey"), (1, 2, "user", "new"), (1, 3, "assistant", "again"),
+        (2, 0, "user", ""), (3, 0, "user", "all later turns go"), (None, None, "", "no ids"),
+    ], key=repr)
+
+
+def brute_fold(events):
+    out = {}
+    for conv in {e[0] for e in events}:
+        log = [e for e in events if e[0] == conv]
+        edits = [(e[2], e[1]) for e in log if e[3] == "edit"]
+        for turn in {e[2] for e in log}:
+            own = sorted(((e[1], e[3], e[4], e[5]) for e in log if e[2] == turn))
+            own = [e for e in own if all(e[0] > seq for at, seq in edits if at < turn)]
+            text = ""
+            for _, kind, _, piece in own:
+                text = text + piece if kind == "delta" else piece
+            if own:
+                out[conv, turn] = (own[-1][2], text)
+    return sorted(((c, t, *v) for (c, t), v in out.items()), key=repr)
+
+
+def test_random_logs_against_a_fold(spark):
+    rng = random.Random(8)
+    events = [
+        (rng.randrange(6), n, rng.randrange(5), rng.choice(["message", "delta", "delta", "edit", "regenerate"]),
+         rng.choice(["user", "assistant"]), rng.choice("abcdef"), None)
+        for n in range(400)
+    ]
+    rng.shuffle(events)
+    assert folded(spark, events) == brute_fold(events)
+
+
+def test_rendering_is_reversible_and_the_mask_is_exact(spark):
+    rng = random.Random(5)
+    rows = [
+        (conv, turn, rng.choice(["user", "assistant", "system", "a\nb", "x\\n</s>", "\\\\n"]),
+         "".join(rng.choice(HOSTILE) for _ in range(rng.randrange(9))))
+        for conv in range(120) for turn in range(rng.randrange(1, 6))
+    ]
+    frame = chat.rendered(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    read = rows_of(frame.select(
+        "conv_id", "formatted", "loss_spans",
+        chat.read_back(F.col("formatted")).alias("turns"), chat.loss_texts(F.col("formatted"), F.col("loss_spans")).alias("loss"),
+    ))
+    assert len(read) == len({row[0] for row in rows})
+    for row in read:
+        own = sorted(r for r in rows if r[0] == row["conv_id"])
+        assert [(t["role"], t["text"]) for t in row["turns"]] == [r[2:] for r in own]
+        assert row["loss"] == [r[3] for r in own if r[2] == "assistant"]
+        assert row["formatted"].count("</s>") == row["formatted"].count("<s>") == len(own)
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_query_against_sql(spark, tmp_path, empty):
+    rng = random.Random(6)
+    rows = [] if empty else [
+        (conv, turn, rng.choice(["user", "assistant", None]), rng.choice([None, "", "tie", "x" * 1300 + "é" * 30, *HOSTILE]))
+        for conv in [*range(40), None] for turn in [*range(rng.randrange(1, 7)), 1, 1]
+    ]
+    columns = list(zip(*rows, strict=True)) or [[]] * 4
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+    table = pa.table({n: pa.array(c, k) for n, c, k in zip(("conv_id", "turn", "role", "text"), columns, kinds, strict=True)})
+    table = table.append_column("formatted", pa.array(["own"] * len(rows))).append_column("seq", pa.array(["own"] * len(rows)))
+    pq.write_table(table, tmp_path / "conversations.parquet")
+    with duckdb.connect() as oracle:
+        oracle.sql(f"create view conversations as select conv_id, turn, role, text from read_parquet('{tmp_path}/conversations.parquet')")
+        expected = oracle.sql(ORACLES["op6_chat_formatting"]).to_arrow_table()
+        assert_same(QUERIES["op6_chat_formatting"](spark, str(tmp_path)).toArrow(), expected)
+
+
+def test_one_shuffle_and_no_python(spark):
+    frame = QUERIES["op6_chat_formatting"](spark, "/root/testdata/sf0.001")
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan

@@ -1,0 +1,62 @@
+"""The pipeline: each stage on what the one before kept, and the driver's contract."""
+
+import corpus_pipeline
+import pytest
+from corpus_tables import rows_of
+from test_minhash import components, shingle_set
+from test_quality import plain_counts
+from test_suffix import expected
+
+import __spark_entry__ as contract
+from planloom.llm import queries
+
+
+def test_contract():
+    assert [name for name, _ in corpus_pipeline.STAGES] == [
+        "quality_rules", "near_dedup", "suffix_dedup", "source_mixing", "length_packing",
+    ]
+    registered = contract.queries()
+    assert registered["pipeline"] is corpus_pipeline.run
+    assert [name for name in queries.QUERIES] == sorted(queries.QUERIES, key=lambda name: int(name[2:].split("_")[0]))
+    assert queries.QUERIES.items() <= registered.items() and len(queries.QUERIES) == 10
+
+
+@pytest.mark.parametrize("place", ["odd_folder", "/root/testdata/sf0.001"])
+def test_stages_against_brute_force(spark, request, place):
+    place = request.getfixturevalue(place) if "/" not in place else place
+    source = spark.read.parquet(f"{place}/documents.parquet")
+    docs, stages = source, []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, place).cache()
+        stages.append(rows_of(docs))
+        if name != "length_packing":
+            assert docs.columns == source.columns
+    ruled, distinct, cut, mixed, packed = stages
+
+    for row in ruled:
+        words, _, _, _, repeated = plain_counts(row["text"] or "")
+        assert words >= 10 and 100 * repeated <= 20 * words
+    sets = {}
+    for row in ruled:
+        if row["doc_id"] is not None:
+            sets.setdefault(row["doc_id"], []).append(shingle_set(row["text"], 5))
+    groups = components(sets)
+    wanted = {(r["doc_id"], r["text"]) for r in ruled if r["doc_id"] is None or groups[r["doc_id"]] == r["doc_id"]}
+    assert sorted(((r["doc_id"], r["text"]) for r in distinct), key=repr) == sorted(wanted, key=repr)
+
+    kept = expected([r["text"].encode() for r in distinct], 200)
+    wanted = [(r["doc_id"], text.decode(errors="ignore")) for r, (_, _, text) in zip(distinct, kept, strict=True)]
+    assert sorted(((r["doc_id"], r["text"]) for r in cut), key=repr) == sorted(wanted, key=repr)
+    assert sorted(map(repr, mixed)) == sorted(map(repr, cut))
+    assert sorted(((r["doc_id"], r["n_tokens"]) for r in packed), key=repr) == sorted(
+        ((r["doc_id"], len(r["text"].encode().split())) for r in mixed), key=repr
+    )
+
+
+def test_run_gives_the_last_stage(spark, odd_folder):
+    rows = rows_of(corpus_pipeline.run(spark, odd_folder))
+    assert rows and list(rows[0])[:3] == ["doc_id", "n_tokens", "bucket"]
+
+
+def test_empty_tables(spark, empty_folder):
+    assert rows_of(corpus_pipeline.run(spark, empty_folder)) == []

@@ -1,0 +1,92 @@
+"""Repeated byte strings against brute force."""
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from corpus_tables import rows_of
+
+from planloom.llm.queries import QUERIES
+from planloom.llm.suffix import Phrases, cleaned_documents, without_repeats
+
+
+def expected(texts, length):
+    """(n_removed, spans, kept) for each text."""
+    seen = {}
+    for n, data in enumerate(texts):
+        for place in range(len(data) - length + 1):
+            seen.setdefault(data[place : place + length], []).append((n, place))
+    covered = [np.zeros(len(data), dtype=bool) for data in texts]
+    for places in seen.values():
+        if len(places) > 1:
+            for n, place in places:
+                covered[n][place : place + length] = True
+    out = []
+    for data, cover in zip(texts, covered, strict=True):
+        edges = np.flatnonzero(np.diff(cover.astype(int), prepend=0, append=0)).reshape(-1, 2).tolist()
+        out.append((int(cover.sum()), edges, np.frombuffer(data, np.uint8)[~cover].tobytes()))
+    return out
+
+
+def test_query_on_odd_rows(spark, odd_folder, odd_rows):
+    texts = [(row[1] or "").encode() for row in odd_rows]
+    wanted = sorted(
+        ((row[0], len(t), n, len(spans), hashlib.sha256(kept).hexdigest())
+         for row, t, (n, spans, kept) in zip(odd_rows, texts, expected(texts, 200), strict=True)), key=repr
+    )
+    found = rows_of(QUERIES["op10_suffix_dedup"](spark, odd_folder))
+    assert sorted((tuple(row.values()) for row in found), key=repr) == wanted
+
+
+@pytest.mark.parametrize(("length", "seed"), [(200, 1), (40, 2), (17, 3), (16, 4)])
+def test_edited_copies(spark, length, seed):
+    """Copies with edits at all distances, shared passages with all borders, and periodic texts."""
+    rng = random.Random(seed)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    base, passage = letters(8 * length), letters(length + 37)
+    texts = ["", letters(length - 1), "ab" * 2 * length, "abc" * 2 * length, "z" * (length + 3), "z" * (length - 1)]
+    for _ in range(12):
+        copy = list(base)
+        for place in rng.sample(range(len(base)), rng.randrange(0, 9)):
+            copy[place] = rng.choice("xyz")
+        texts.append("".join(copy))
+        start = rng.randrange(0, 6 * length)
+        texts.append(letters(rng.randrange(0, 50)) + base[start : start + rng.randrange(length - 3, 2 * length)] + letters(20))
+        texts.append(letters(rng.randrange(0, length)) + passage + letters(rng.randrange(0, length)))
+    rows = list(enumerate(texts))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc"]["doc_id"]: r for r in rows_of(without_repeats(frame, length))}
+    for (n, _), (removed, spans, kept) in zip(rows, expected([t.encode() for t in texts], length), strict=True):
+        got = found[n]
+        assert (got["n_removed"], [[s["start"], s["end"]] for s in got["spans"]], got["kept_bytes"]) == (removed, spans, kept)
+
+
+def test_phrases_hold_every_string_once():
+    data = np.frombuffer(random.Random(1).randbytes(5000), np.uint8)
+    phrases = Phrases(data, 200)
+    starts = np.concatenate([np.arange(a, b + 1) for a, b in zip(phrases.first, phrases.last, strict=True)])
+    assert (starts == np.arange(5000 - 199)).all()
+    assert ((phrases.last <= phrases.places) & (phrases.places + 32 <= phrases.first + 200)).all()
+
+
+def test_very_short_strings_are_refused(spark):
+    with pytest.raises(ValueError, match="at least"):
+        without_repeats(spark.createDataFrame([(1, "x")], "doc_id long, text string"), 5)
+
+
+def test_empty_table(spark, empty_folder):
+    assert rows_of(QUERIES["op10_suffix_dedup"](spark, empty_folder)) == []
+
+
+def test_stage_keeps_columns_and_whole_characters(spark, odd_folder, odd_rows):
+    docs = spark.read.parquet(f"{odd_folder}/documents.parquet")
+    found = rows_of(cleaned_documents(docs))
+    assert list(found[0]) == docs.columns and len(found) == len(odd_rows)
+    texts = [(row[1] or "").encode() for row in odd_rows]
+    wanted = [
+        (row[0], row[3], None if row[1] is None else kept.decode(errors="ignore"))
+        for row, (_, _, kept) in zip(odd_rows, expected(texts, 200), strict=True)
+    ]
+    assert sorted(((r["doc_id"], r["source"], r["text"]) for r in found), key=repr) == sorted(wanted, key=repr)
+    assert all(r["n_chars"] == len(r["text"]) for r in found if r["text"] is not None)

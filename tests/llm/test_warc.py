@@ -1,0 +1,95 @@
+"""WARC records: text and link extraction, identifiers, digests, and files that can be read back."""
+
+import base64
+import gzip
+import hashlib
+import re
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+from corpus_tables import rows_of
+
+from planloom.llm.queries import QUERIES
+from planloom.llm.warc import derivatives, page_links, page_text, responses, write_warc
+
+PAGE = (
+    '<!DOCTYPE html><html lang="en-GB"><head><title>A &amp; B</title><style>p{}</style><script>var t="</p>";</script></head>'
+    '<body><!-- <a href="/no">x</a> --><p>One <b>bold</b>\n word<br>next<p>caf&eacute; &lt;tag&gt;</p>'
+    "<a href='b?x=1&amp;y=2'>link</a><a class=z href=//other.example/c>c</a><a href=\"/no\">again</a><a href='b?x=1&amp;y=2'>twice</a></body></html>"
+)
+
+
+def test_visible_text_and_links():
+    assert page_text(PAGE) == "A & B\nOne bold word\nnext\ncafé <tag>\nlinkcagaintwice"
+    assert page_links(PAGE, "http://h.example/a/") == [
+        "http://h.example/a/b?x=1&y=2", "http://other.example/c", "http://h.example/no"
+    ]
+    assert page_text("<script>never closed") == page_text("<!-- open") == page_text("") == ""
+    assert page_links('<a href="http://[bad">x</a><a href="  ">y</a>', "http://h/") == ["http://[bad", "http://h/"]
+    assert page_text("1 < 2 and 3 > 2") == "1 < 2 and 3 > 2"
+
+
+@pytest.fixture(scope="module")
+def pages(tmp_path_factory):
+    rows = [
+        (1, "http://h.example/a/", PAGE), (2, "http://h.example/\r\nEvil: 1", "<p>é</p>" * 5000), (2, None, None), (None, "", ""),
+        (4, "x", "plain"), (4, "x", "plain"),
+    ]
+    path = tmp_path_factory.mktemp("pages")
+    kinds = {"page_id": pa.int64(), "url": pa.string(), "html": pa.string()}
+    table = pa.table({n: pa.array(c, k) for (n, k), c in zip(kinds.items(), zip(*rows, strict=True), strict=True)})
+    pq.write_table(table.append_column("record_id", pa.array(["own"] * 6)).append_column("block", pa.array([1] * 6)), path / "pages.parquet")
+    return str(path)
+
+
+def sha1(text):
+    return "sha1:" + base64.b32encode(hashlib.sha1(text.encode()).digest()).decode()
+
+
+def test_records_of_odd_pages(spark, pages):
+    found = rows_of(QUERIES["op8_warc_derivatives"](spark, pages))
+    source = {(r["page_id"], r["record_id"]): r for r in rows_of(responses(spark.read.parquet(f"{pages}/pages.parquet")))}
+    assert len(found) == 12
+    for row in found:
+        response = source[row["page_id"], row["refers_to"]]
+        assert row["source_digest"] == sha1(response["payload"]) and row["block_digest"] == sha1(row["block"])
+        assert row["content_length"] == len(row["block"].encode())
+        assert re.fullmatch(r"<urn:uuid:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}>", row["record_id"])
+        other = [r for r in found if r["record_id"] == row["concurrent_to"]]
+        assert other and all(r["concurrent_to"] == row["record_id"] and r["refers_to"] == row["refers_to"] for r in other)
+        lines = row["headers"].split("\r\n")
+        assert lines[0] == "WARC/1.1" and all(re.fullmatch(r"[\w-]+: [^\r\n]+", line) for line in lines[1:])
+        assert f"WARC-Refers-To: {row['refers_to']}" in lines
+        if row["warc_type"] == "conversion":
+            assert row["block"] == page_text(response["payload"])
+        else:
+            assert f"source-payload-digest: {row['source_digest']}\r\n" in row["block"]
+            assert "source-http-header: Content-Type: text/html; charset=utf-8\r\n" in row["block"]
+    assert len({r["record_id"] for r in found}) == 10
+
+
+def test_metadata_of_a_page(spark, pages):
+    found = rows_of(QUERIES["op8_warc_derivatives"](spark, pages))
+    block = next(r["block"] for r in found if r["page_id"] == 1 and r["warc_type"] == "metadata")
+    assert block.startswith("title: A & B\r\nlanguage: en-GB\r\n")
+    assert re.findall(r"outlink: (.*)\r\n", block) == page_links(PAGE, "http://h.example/a/")
+
+
+def test_files_read_back_by_their_lengths(spark, pages, tmp_path):
+    records = derivatives(responses(spark.read.parquet(f"{pages}/pages.parquet")))
+    write_warc(records, str(tmp_path / "out"))
+    data = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "out").glob("part-*.gz"))
+    blocks = []
+    while data:
+        headers, _, rest = data.partition(b"\r\n\r\n")
+        size = int(re.search(rb"Content-Length: (\d+)", headers)[1])
+        blocks.append((re.search(rb"WARC-Record-ID: (\S+)", headers)[1].decode(), rest[:size].decode()))
+        assert rest[size : size + 4] == b"\r\n\r\n"
+        data = rest[size + 4 :]
+    assert sorted(blocks) == sorted((r["record_id"], r["block"]) for r in rows_of(records))
+
+
+def test_empty_table(spark):
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert rows_of(derivatives(responses(empty))) == []
