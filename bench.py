@@ -52,7 +52,7 @@ PLAIN = {
         select event_id as purchase_id, user_id, view_id
         from (select event_id, user_id, event_type,
                      last_value(case when event_type = 'view' then event_id end, true) over (
-                         partition by user_id order by ts, event_id
+                         partition by user_id order by ts, event_type = 'purchase', event_id
                          rows between unbounded preceding and current row) as view_id
               from events)
         where event_type = 'purchase'

@@ -72,19 +72,6 @@ def _plan(inputs: list[dict], steps: dict[str, str], targets: list[tuple[str, di
     )
 
 
-def _range_options(spark: SparkSession, table_dir: str, table: str, key: str) -> dict[str, object]:
-    """Options that split a JDBC scan into key ranges; the bounds set strides, they filter nothing."""
-    lowest, highest = (
-        spark.read.parquet(f"{table_dir}/{table}.parquet").agg(F.min(key), F.max(key)).first()
-    )
-    return {
-        "partitionColumn": key,
-        "lowerBound": lowest,
-        "upperBound": highest + 1,
-        "numPartitions": spark.sparkContext.defaultParallelism,
-    }
-
-
 def csv_to_csv(spark: SparkSession, table_dir: str) -> DataFrame:
     """Delimited text to delimited text, run twice: the second run appends."""
     folder = new_folder(spark, "csv_to_csv")
@@ -92,9 +79,9 @@ def csv_to_csv(spark: SparkSession, table_dir: str) -> DataFrame:
     for _ in range(2):
         _run(
             spark,
-            [_csv(f"{folder}/in", "user")],
-            {"allUsers": "select * from user"},
-            [("allUsers", _csv(f"{folder}/out"))],
+            [_csv(f"{folder}/in", "received")],
+            {"passed_on": "select * from received"},
+            [("passed_on", _csv(f"{folder}/out"))],
         )
     return _view(
         spark,
@@ -118,18 +105,18 @@ def csv_to_jdbc(spark: SparkSession, table_dir: str) -> DataFrame:
     _run(spark, [_table(table_dir, "customer")], {}, [("customer", _csv(f"{folder}/in"))])
     _run(
         spark,
-        [_csv(f"{folder}/in", "user", schema="c_custkey bigint, c_name string, c_nationkey int, "
-                                             "c_acctbal double, c_mktsegment string")],
-        {"allUsers": "select *, current_timestamp() as ModifiedDateTime from user"},
-        [("allUsers", {**stored, "options": {**options, "batchsize": 5000}})],
+        [_csv(f"{folder}/in", "received", schema="c_custkey bigint, c_name string, c_nationkey int, "
+                                                 "c_acctbal double, c_mktsegment string")],
+        {"loaded": "select *, current_timestamp() as loaded_at from received"},
+        [("loaded", {**stored, "options": {**options, "batchsize": 5000}})],
     )
     return _view(
         spark,
-        [{**stored, "id": "stored", "options": options | _range_options(spark, table_dir, "customer", "c_custkey")}],
+        [{**stored, "id": "stored", "options": {**options, "partitionColumn": "c_custkey"}}],
         {
             "result": """
             select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment,
-                   ModifiedDateTime is not null as stamped
+                   loaded_at is not null as stamped
             from stored
             """
         },
@@ -211,7 +198,7 @@ def partitioned_jdbc(spark: SparkSession, table_dir: str) -> DataFrame:
     return _view(
         spark,
         [
-            {**stored, "id": "stored", "options": options | _range_options(spark, table_dir, "orders", "o_orderkey")},
+            {**stored, "id": "stored", "options": {**options, "partitionColumn": "o_orderkey"}},
             _table(table_dir, "customer"),
         ],
         {
@@ -340,8 +327,8 @@ def session_statements(spark: SparkSession, table_dir: str) -> DataFrame:
         [_table(table_dir, "part")],
         {
             "setting": "set spark.sql.caseSensitive = true",
-            "declared": "create temporary view large_parts as select * from part where p_size > 40",
-            "result": "select p_partkey, p_size, p_brand from large_parts",
+            "declared": "create temporary view sized_parts as select *, p_size > 40 as large from part",
+            "result": "select p_partkey, p_size, p_brand, large from sized_parts",
         },
     )
 
@@ -420,6 +407,6 @@ FLOWS = [
     Flow(
         "trf6_session_statements",
         session_statements,
-        "select p_partkey, p_size, p_brand from part where p_size > 40",
+        "select p_partkey, p_size, p_brand, p_size > 40 as large from part",
     ),
 ]

@@ -197,7 +197,7 @@ QUERIES = [
         """,
     ),
     # As-of join: the latest view at or before each purchase of the same user, from one pass
-    # over one relation. Bands of hot users start from what earlier bands carry over.
+    # over one relation. Views come before purchases of the same time, those without a time never. Bands of hot users start from what earlier bands carry over.
     Query(
         "j13_as_of",
         ("events",),
@@ -207,7 +207,8 @@ QUERIES = [
                 """
                 select event_id, user_id, ts, event_type = 'purchase' as is_purchase,
                        case when event_type = 'view' then event_id end as view_id
-                from events where event_type = 'purchase' or (event_type = 'view' and user_id is not null)
+                from events
+                where event_type = 'purchase' or (event_type = 'view' and user_id is not null and ts is not null)
                 """,
             ),
             *banded("activity", "user_id", "ts"),
@@ -228,7 +229,7 @@ QUERIES = [
                 """
                 select /*+ broadcast(k) */ b.event_id, b.user_id, b.is_purchase,
                        coalesce(last_value(b.view_id, true) over (
-                                    partition by b.user_id, b.band order by b.ts, b.event_id
+                                    partition by b.user_id, b.band order by b.ts, b.is_purchase, b.event_id
                                     rows between unbounded preceding and current row),
                                 k.carried_view) as view_id
                 from banded b left join carried k on b.user_id <=> k.user_id and b.band = k.band

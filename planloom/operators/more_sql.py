@@ -75,13 +75,13 @@ QUERIES = [
         select e.vec_id, v.pos, v.weight
         from embeddings e, lateral (
             select cast(pos as bigint) as pos, cast(x as double) as weight
-            from posexplode(slice(e.embedding, 1, 4)) as t(pos, x)) v
+            from posexplode(e.embedding) as t(pos, x)) v
         where v.weight > 0
         """,
         """
         select vec_id, pos, weight
         from (select vec_id, pos, cast(embedding[pos + 1] as double) as weight
-              from (select vec_id, embedding, unnest(range(4)) as pos from embeddings))
+              from (select vec_id, embedding, unnest(range(len(embedding))) as pos from embeddings))
         where weight > 0
         """,
     ),
@@ -104,14 +104,15 @@ QUERIES = [
         "events",
         """
         select user_id, count_if(event_type = 'error') as errors, sum(if(value > 50, 1, 0)) as large,
-               bit_or(cast(value as int)) as any_bits, bit_and(cast(value as int)) as all_bits,
+               bit_or(try_cast(value as bigint)) as any_bits, bit_and(try_cast(value as bigint)) as all_bits,
                every(value >= 0) as none_negative, some(event_type = 'signup') as signed_up
         from events group by user_id
         """,
         """
         select user_id, count(*) filter (where event_type = 'error') as errors,
                count(*) filter (where value > 50) as large,
-               bit_or(cast(trunc(value) as int)) as any_bits, bit_and(cast(trunc(value) as int)) as all_bits,
+               bit_or(try_cast(trunc(value) as bigint)) as any_bits,
+               bit_and(try_cast(trunc(value) as bigint)) as all_bits,
                bool_and(value >= 0) as none_negative, bool_or(event_type = 'signup') as signed_up
         from events group by user_id
         """,
@@ -171,15 +172,31 @@ QUERIES = [
         "a23_approximate_percentiles",
         ("events",),
         (
+            # Three rows per event type.
             (
-                "result",
+                "estimates",
                 """
-                select event_type, element_at(p, 1) as p10, element_at(p, 2) as p50, element_at(p, 3) as p90
+                select event_type, s.share, s.estimate
                 from (select event_type, percentile_approx(value, array(0.1, 0.5, 0.9), 10000) as p
                       from events group by event_type)
+                     lateral view inline(transform(array(0.1D, 0.5D, 0.9D),
+                         (share, i) -> named_struct('share', share, 'estimate', p[i]))) s
+                """,
+            ),
+            (
+                "result",
+                """
+                select event_type, share,
+                       count_if(value < estimate) <= share * count(value) + greatest(1, count(value) / 10000)
+                       and count_if(value <= estimate) >= share * count(value) - greatest(1, count(value) / 10000) as close
+                from events join estimates using (event_type) group by event_type, share
                 """,
             ),
         ),
+        """
+        select event_type, share, true as close
+        from (select distinct event_type from events), (values (0.1::double), (0.5::double), (0.9::double)) as shares(share)
+        """,
     ),
     # --- scalar functions ---
     one_step(
@@ -206,7 +223,7 @@ QUERIES = [
         "x13_urls",
         "pages",
         """
-        select page_id, regexp_extract(url, '^([a-z]+)://', 1) as scheme, parse_url(url, 'HOST') as host,
+        select page_id, regexp_extract(url, '^([a-z]+)://', 1) as scheme, try_parse_url(url, 'HOST') as host,
                cast(size(split(url, '/')) as bigint) as parts, cast(regexp_count(url, '[0-9]') as bigint) as digits,
                cast(length(html) as bigint) as html_chars
         from pages
@@ -246,7 +263,7 @@ QUERIES = [
                cast(array_position(signs, -1) as bigint) as first_negative,
                round(reduce(zip_with(embedding, reverse(embedding), (a, b) -> cast(a as double) * b),
                             0.0D, (s, x) -> s + x), 6) as folded,
-               array_join(transform(slice(signs, 1, 5), s -> cast(s as string)), '') as start,
+               array_join(transform(signs, s -> cast(s as string)), '') as all_signs,
                forall(embedding, x -> abs(x) <= 1) as bounded
         from (select vec_id, embedding, transform(embedding, x -> if(x > 0, 1, -1)) as signs from embeddings)
         """,
@@ -255,7 +272,7 @@ QUERIES = [
                cast(list_position(signs, -1) as bigint) as first_negative,
                round(list_sum(list_transform(range(1, len(embedding) + 1), lambda i:
                      cast(embedding[i] as double) * cast(embedding[len(embedding) + 1 - i] as double))), 6) as folded,
-               array_to_string(signs[1:5], '') as start,
+               array_to_string(signs, '') as all_signs,
                len(list_filter(embedding, lambda x: abs(x) > 1)) = 0 as bounded
         from (select vec_id, embedding, list_transform(embedding, lambda x: if(x > 0, 1, -1)) as signs
               from embeddings)
@@ -303,12 +320,11 @@ QUERIES = [
         select o_orderkey, kind, amount
         from orders
              lateral view stack(2, 'total', o_totalprice, 'thousands', round(o_totalprice / 1000, 6)) s as kind, amount
-        where o_orderstatus = 'P'
         """,
         """
-        select o_orderkey, 'total' as kind, o_totalprice as amount from orders where o_orderstatus = 'P'
+        select o_orderkey, 'total' as kind, o_totalprice as amount from orders
         union all
-        select o_orderkey, 'thousands', round(o_totalprice / 1000, 6) from orders where o_orderstatus = 'P'
+        select o_orderkey, 'thousands', round(o_totalprice / 1000, 6) from orders
         """,
     ),
     one_step(

@@ -189,7 +189,7 @@ QUERIES = [
                 """
                 select user_id, band, n,
                        coalesce(sum(n) over before, 0) as rows_before,
-                       coalesce(sum(total) over before, 0.0D) as total_before
+                       sum(total) over before as total_before
                 from (select user_id, band, count(*) as n, sum(value) as total
                       from banded where hot_rows is not null group by user_id, band)
                 window before as (partition by user_id order by band
@@ -232,8 +232,8 @@ QUERIES = [
                 select /*+ broadcast(e) */ x.event_id, x.user_id, x.own,
                        sum(case when x.own then x.value end) over (
                            partition by x.user_id, x.band order by x.ts, x.event_id
-                           rows between unbounded preceding and current row)
-                       + coalesce(e.total_before, 0.0D) as running,
+                           rows between unbounded preceding and current row) as within_band,
+                       e.total_before,
                        avg(x.value) over (partition by x.user_id, x.band order by x.ts, x.event_id
                                           rows between 2 preceding and current row) as moving
                 from extended x left join earlier e on x.user_id <=> e.user_id and x.band = e.band
@@ -242,7 +242,10 @@ QUERIES = [
             (
                 "result",
                 """
-                select event_id, user_id, round(running, 2) as running_total, round(moving, 6) as moving_mean
+                select event_id, user_id, round(moving, 6) as moving_mean,
+                       -- null only where neither this band nor an earlier one has had a value
+                       round(case when total_before is null then within_band
+                                  else total_before + coalesce(within_band, 0.0D) end, 2) as running_total
                 from framed where own
                 """,
             ),
@@ -263,14 +266,23 @@ QUERIES = [
         ("events",),
         (
             *hot_keys("events", "user_id"),
-            ("hourly", "select event_id, user_id, ts, window(ts, '1 hour').start as hour from events"),
+            # Events without a time have an hour of their own, null.
+            (
+                "hourly",
+                """
+                select event_id, user_id, ts,
+                       ts - make_dt_interval(0, 0, minute(ts), extract(second from ts)) as hour
+                from events
+                """,
+            ),
             (
                 "spread",
                 """
                 select event_id, user_id, ts, own_hour, explode(hours) as frame_hour
                 from (select /*+ broadcast(k) */ e.event_id, e.user_id, e.ts,
                              case when k.hot_rows is not null then e.hour end as own_hour,
-                             case when k.hot_rows is not null then array(e.hour, e.hour + interval 1 hour)
+                             case when k.hot_rows is not null and e.hour is not null
+                                  then array(e.hour, e.hour + interval 1 hour)
                                   else array(cast(null as timestamp_ntz)) end as hours
                       from hourly e left join hot_keys k on e.user_id <=> k.hot_key)
                 """,

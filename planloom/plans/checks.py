@@ -6,11 +6,16 @@ registered and therefore also before the first write.
 
 from __future__ import annotations
 
+import os
 import re
 import warnings
 
+from planloom.plans.locations import locations
 from planloom.plans.model import Plan, PlanError, Storage
 
+# Parameters of uris that name a database.
+_DATABASE_KEYS = {"database", "databasename"}
+
 _VIEW_ID = re.compile(r"\w+|`[^`]+`")
 
 # The save modes Spark's writer knows.
@@ -59,28 +64,59 @@ def _check_location(storage: Storage) -> None:
 
 
 def _refuse_self_overwrite(plan: Plan, output: Storage) -> None:
-    """Overwriting a table drops it before the lazy read of the same table: all rows would be lost."""
-    if output.kind != "jdbc" or (output.mode or "overwrite").lower() != "overwrite":
+    """Overwriting drops what is there before the lazy read of the same place: all rows would be lost.
+
+    Where two places may be one, the plan is refused.
+    """
+    if (output.mode or ("overwrite" if output.kind == "jdbc" else "append")).lower() != "overwrite":
         return
     for source in plan.inputs:
-        if source.kind == "jdbc" and _same_database(source.uri, output.uri) and _reads(source.table, output.table):
-            raise PlanError(f"{output} would overwrite the table that input {source.id!r} reads")
+        if source.kind == output.kind == "jdbc":
+            clash = _same_database(source.uri, output.uri) and _reads(source.table, output.table)
+        else:
+            clash = source.is_file and output.is_file and _overlap(source, output)
+        if clash:
+            raise PlanError(f"{output} would overwrite what input {source.id!r} reads")
+
+
+def _overlap(source: Storage, output: Storage) -> bool:
+    """Whether one of the output's folders holds, or lies in, one that the source reads."""
+    pairs = [(_parts(a), _parts(b)) for a in locations(source) for b in locations(output)]
+    return any(a[: len(b)] == b[: len(a)] for a, b in pairs)
+
+
+def _parts(path: str) -> list[str]:
+    """The names on the way to a path, up to the first one with a wildcard."""
+    scheme, separator, rest = path.partition("://")
+    if not separator:
+        scheme, rest = "file", os.path.abspath(re.sub(r"^file:", "", path))
+    names = [name for name in re.sub(r"/+", "/", rest).split("/") if name not in ("", ".")]
+    fixed = next((n for n, name in enumerate(names) if re.search(r"[*?\[{]", name)), len(names))
+    return [scheme.lower(), *names[:fixed]]
 
 
 def _same_database(left: str, right: str) -> bool:
-    def bare(uri: str) -> str:
-        return re.sub(r";create=true", "", uri.strip(), flags=re.IGNORECASE).rstrip(";/").lower()
+    """Whether two uris may name one database: all but their parameters agree, and no parameter names another one."""
+    (one, own), (other, theirs) = _address(left), _address(right)
+    return one == other and all(own[key] == theirs[key] for key in _DATABASE_KEYS & own.keys() & theirs.keys())
 
-    return bare(left) == bare(right)
+
+def _address(uri: str) -> tuple[str, dict[str, str]]:
+    """A uri without its parameters, and the parameters."""
+    address, *pairs = re.split(r"[;?&]", uri.strip().lower())
+    return address.rstrip("/"), dict(pair.split("=", 1) for pair in pairs if "=" in pair)
 
 
 def _reads(source: str, table: str) -> bool:
-    """Whether `source`, a table name or a parenthesised subquery with an alias, mentions `table`."""
-    name = _plain_name(table)
+    """Whether `source`, a table name or a parenthesised subquery with an alias, may read `table`.
+
+    Names are compared by their last part: a schema left out on one side may be the default one.
+    """
+    name = _plain_name(table).rsplit(".", 1)[-1]
     if source.lstrip().startswith("("):
         inner = source[: source.rfind(")")]
         return re.search(rf"(?<!\w){re.escape(name)}(?!\w)", _plain_name(inner)) is not None
-    return _plain_name(source) == name
+    return _plain_name(source).rsplit(".", 1)[-1] == name
 
 
 def _plain_name(text: str) -> str:

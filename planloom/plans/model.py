@@ -131,9 +131,9 @@ class Plan:
     @classmethod
     def from_dict(cls, data: Mapping) -> Plan:
         return cls(
-            inputs=tuple(map(Storage.from_dict, data.get("inputs", ()))),
-            transformations=tuple(map(Transformation.from_dict, data.get("transformations", ()))),
-            targets=tuple(map(Target.from_dict, data.get("targets", ()))),
+            inputs=tuple(map(Storage.from_dict, data.get("inputs") or ())),
+            transformations=tuple(map(Transformation.from_dict, data.get("transformations") or ())),
+            targets=tuple(map(Target.from_dict, data.get("targets") or ())),
         )
 
     def storages(self) -> list[Storage]:

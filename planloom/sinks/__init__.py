@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from planloom.plans.model import PlanError, Storage
 from planloom.sources import AccessToken, connection_properties, locations
+from planloom.sources.jdbc import CONNECTIONS
 
 __all__ = ["write_storage"]
 
@@ -34,12 +35,8 @@ def _write_parquet(frame: DataFrame, storage: Storage, _: AccessToken) -> None:
 
 def _write_jdbc(frame: DataFrame, storage: Storage, access_token: AccessToken) -> None:
     # numPartitions caps the number of concurrent connections, batchsize the rows per round trip.
-    frame.write.jdbc(
-        storage.uri,
-        storage.table,
-        mode=storage.mode or "overwrite",
-        properties=connection_properties(storage.options, access_token),
-    )
+    properties = {"numPartitions": str(CONNECTIONS)} | connection_properties(storage.options, access_token)
+    frame.write.jdbc(storage.uri, storage.table, mode=storage.mode or "overwrite", properties=properties)
 
 
 _WRITERS = {"csv": _write_csv, "parquet": _write_parquet, "jdbc": _write_jdbc}

@@ -7,7 +7,7 @@ import logging
 from pyspark.sql import DataFrame, SparkSession
 
 from planloom.plans.model import PlanError, Storage
-from planloom.sources.jdbc import AccessToken, connection_properties
+from planloom.sources.jdbc import AccessToken, connection_properties, option, range_options, without_range
 from planloom.sources.lake import lake_settings, locations
 
 __all__ = ["AccessToken", "connection_properties", "lake_settings", "locations", "read_storage"]
@@ -30,12 +30,21 @@ def _read_parquet(session: SparkSession, storage: Storage, _: AccessToken) -> Da
 
 
 def _read_jdbc(session: SparkSession, storage: Storage, access_token: AccessToken) -> DataFrame:
-    # partitionColumn, lowerBound, upperBound and numPartitions arrive as options and split
-    # the scan into that many range queries.
-    if "partitioncolumn" not in map(str.lower, storage.options):
-        log.warning("one task will read all of %s: set partitionColumn and its bounds", storage)
-    properties = connection_properties(storage.options, access_token)
-    return session.read.options(**storage.options).jdbc(storage.uri, storage.table, properties=properties)
+    # partitionColumn splits the scan into range queries, predicates (a list of conditions that
+    # between them hold for each row once) into one query each.
+    options = {key: value for key, value in storage.options.items() if key.lower() != "predicates"}
+    predicates = option(storage.options, "predicates")
+    properties = connection_properties(options, access_token)
+    if predicates:
+        return session.read.jdbc(storage.uri, storage.table, predicates=list(predicates), properties=properties)
+    if option(options, "partitionColumn") is None:
+        log.warning("one task will read all of %s: set partitionColumn or predicates", storage)
+        extra = {}
+    else:
+        extra = range_options(session, storage, properties)
+    if extra is None:
+        properties, extra = without_range(properties), {}
+    return session.read.jdbc(storage.uri, storage.table, properties=properties | extra)
 
 
 _READERS = {"csv": _read_csv, "parquet": _read_parquet, "jdbc": _read_jdbc}

@@ -4,8 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+from pyspark.sql import SparkSession
+
+from planloom.plans.model import Storage
+
 # Fixed value: seconds a connection attempt may take unless the plan says otherwise.
 LOGIN_TIMEOUT = "300"
+# Connections that a read or a write opens at a time, unless the plan sets numPartitions: a database
+# stands far fewer of them than a cluster has cores.
+CONNECTIONS = 16
 
 AccessToken = str | Callable[[], str] | None
 
@@ -17,13 +24,47 @@ def connection_properties(options: Mapping[str, object], access_token: AccessTok
     """
     properties = {"loginTimeout": LOGIN_TIMEOUT}
     if "password" not in options:
-        properties.update(user="", password="")
         token = access_token() if callable(access_token) else access_token
         if token is not None:
-            properties["accessToken"] = token
+            # Drivers that take a token want no other credentials beside it.
+            properties.update(user="", password="", accessToken=token)
     properties.update({key: _text(value) for key, value in options.items() if value is not None})
     return properties
 
 
 def _text(value: object) -> str:
     return str(value).lower() if isinstance(value, bool) else str(value)
+
+
+def option(options: Mapping[str, object], name: str) -> object | None:
+    """An option's value; names ignore case."""
+    return next((value for key, value in options.items() if key.lower() == name.lower()), None)
+
+
+def range_options(session: SparkSession, storage: Storage, properties: Mapping[str, str]) -> dict[str, str] | None:
+    """What a range-partitioned read lacks: its bounds, from the table itself, and a number of connections.
+
+    Bounds only set the strides of the ranges; rows outside them, or with a null, are read as well. A table that is empty or has a
+    single value in the column needs no ranges: None. Asking for them costs the database one aggregate over the column.
+    """
+    column = option(storage.options, "partitionColumn")
+    if column is None:
+        return {}
+    extra = {} if option(storage.options, "numPartitions") else {"numPartitions": str(CONNECTIONS)}
+    if option(storage.options, "lowerBound") is not None and option(storage.options, "upperBound") is not None:
+        return extra
+    plain = {key: value for key, value in properties.items() if key.lower() not in _RANGE_OPTIONS}
+    name = session._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(storage.uri).quoteIdentifier(str(column))
+    query = f"(select min({name}) as low, max({name}) as high from {storage.table} ranged) bounds"
+    low, high = session.read.jdbc(storage.uri, query, properties=plain).first()
+    if low is None or low == high:
+        return None
+    return extra | {"lowerBound": str(low), "upperBound": str(high)}
+
+
+# The options of a range-partitioned read.
+_RANGE_OPTIONS = {"partitioncolumn", "lowerbound", "upperbound", "numpartitions"}
+
+
+def without_range(properties: Mapping[str, object]) -> dict[str, object]:
+    return {key: value for key, value in properties.items() if key.lower() not in _RANGE_OPTIONS}

@@ -1,44 +1,39 @@
-"""Where files live: local or any Hadoop path, or a container of a lake account."""
+"""Credentials for lake locations."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from planloom.plans.model import Plan, PlanError, Storage
+from planloom.plans.locations import locations
+from planloom.plans.model import Plan, PlanError
 
-
-def locations(storage: Storage) -> list[str]:
-    """The paths of a file storage as Spark should see them."""
-    paths = [storage.path] if isinstance(storage.path, str) else list(storage.path)
-    if not storage.in_lake:
-        return paths
-    root = f"abfss://{storage.container}@{storage.storage_account}.dfs.core.windows.net/"
-    return [root + path for path in paths]
+__all__ = ["lake_settings", "locations"]
 
 
 def lake_settings(plan: Plan, sas_tokens: Mapping[tuple[str, str], str] | None = None) -> dict[str, str]:
     """Session settings that let Spark open every lake location of the plan.
 
-    A token comes from the storage itself or from `sas_tokens`, keyed by
-    (storage account, container). Storages without either get no settings, so that
-    credentials configured on the cluster stay in force. The container-scoped `blob`
-    key is set for older drivers; the `dfs` keys are the ones the abfss driver reads.
+    A token comes from the storage itself or from `sas_tokens`, keyed by (storage account, container). Storages without
+    either get no settings, so that credentials configured on the cluster stay in force. Each container gets
+    keys of its own: the `blob` key of older drivers, and the fixed token of drivers that know containers. The key that holds for a whole account is
+    set only if all its containers here have one token.
     """
-    settings: dict[str, str] = {}
+    tokens: dict[tuple[str, str], str] = {}
     for storage in plan.storages():
         if not storage.in_lake:
             continue
-        account, container = storage.storage_account, storage.container
-        token = storage.sas_token or (sas_tokens or {}).get((account, container))
+        place = storage.storage_account, storage.container
+        token = storage.sas_token or (sas_tokens or {}).get(place)
         if token is None:
             continue
+        if tokens.setdefault(place, token) != token:
+            raise PlanError("the plan gives more than one SAS token for container {1!r} of storage account {0!r}".format(*place))
+    settings: dict[str, str] = {}
+    for (account, container), token in tokens.items():
         host = f"{account}.dfs.core.windows.net"
-        wanted = {
-            f"fs.azure.sas.{container}.{account}.blob.core.windows.net": token,
-            f"fs.azure.account.auth.type.{host}": "SAS",
-            f"fs.azure.sas.fixed.token.{host}": token,
-        }
-        if any(settings.get(key, value) != value for key, value in wanted.items()):
-            raise PlanError(f"the plan gives more than one SAS token for storage account {account!r}")
-        settings.update(wanted)
+        settings[f"fs.azure.account.auth.type.{host}"] = "SAS"
+        settings[f"fs.azure.sas.{container}.{account}.blob.core.windows.net"] = token
+        settings[f"fs.azure.sas.fixed.token.{container}.{host}"] = token
+        if {other for (name, _), other in tokens.items() if name == account} == {token}:
+            settings[f"fs.azure.sas.fixed.token.{host}"] = token
     return settings
