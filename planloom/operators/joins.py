@@ -197,7 +197,7 @@ QUERIES = [
         """,
     ),
     # As-of join: the latest view at or before each purchase of the same user, from one pass
-    # over one relation. Views come before purchases of the same time, those without a time never. Bands of hot users start from what earlier bands carry over.
+    # over one relation. Views come before purchases of the same time, those without a time never. Pieces of hot users start from what earlier ones carry over.
     Query(
         "j13_as_of",
         ("events",),
@@ -206,33 +206,35 @@ QUERIES = [
                 "activity",
                 """
                 select event_id, user_id, ts, event_type = 'purchase' as is_purchase,
+                       -- views first among events of one time
+                       event_id + if(event_type = 'purchase', 1L << 62, 0) as place,
                        case when event_type = 'view' then event_id end as view_id
                 from events
                 where event_type = 'purchase' or (event_type = 'view' and user_id is not null and ts is not null)
                 """,
             ),
-            *banded("activity", "user_id", "ts"),
+            *banded("activity", "user_id", "ts", "place"),
             (
                 "carried",
                 """
-                select user_id, band,
+                select user_id, piece,
                        last_value(last_view, true) over (
-                           partition by user_id order by band
+                           partition by user_id order by piece
                            rows between unbounded preceding and 1 preceding) as carried_view
-                from (select user_id, band, max_by(view_id, struct(ts, event_id))
+                from (select user_id, piece, max_by(view_id, struct(ts, event_id))
                                  filter (where view_id is not null) as last_view
-                      from banded where hot_rows is not null group by user_id, band)
+                      from banded where hot_rows is not null group by user_id, piece)
                 """,
             ),
             (
                 "latest",
                 """
-                select /*+ broadcast(k) */ b.event_id, b.user_id, b.is_purchase,
+                select b.event_id, b.user_id, b.is_purchase,
                        coalesce(last_value(b.view_id, true) over (
-                                    partition by b.user_id, b.band order by b.ts, b.is_purchase, b.event_id
+                                    partition by b.user_id, b.piece order by b.ts, b.place
                                     rows between unbounded preceding and current row),
                                 k.carried_view) as view_id
-                from banded b left join carried k on b.user_id <=> k.user_id and b.band = k.band
+                from banded b left join carried k on b.user_id <=> k.user_id and b.piece = k.piece
                 """,
             ),
             ("result", "select event_id as purchase_id, user_id, view_id from latest where is_purchase"),

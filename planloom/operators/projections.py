@@ -108,7 +108,7 @@ QUERIES = [
             (
                 "salted_orders",
                 """
-                select /*+ broadcast(h) */ o.*,
+                select o.*,
                        coalesce(pmod(xxhash64(o.o_orderkey), h.pieces), 0) as salt
                 from orders o left join hot_keys h on o.o_custkey = h.hot_key
                 """,
@@ -116,7 +116,7 @@ QUERIES = [
             (
                 "typical_order",
                 """
-                select /*+ broadcast(h) */ a.o_custkey, a.typical,
+                select a.o_custkey, a.typical,
                        explode(sequence(cast(0 as bigint), coalesce(h.pieces, 1) - 1)) as salt
                 from (select o_custkey, avg(o_totalprice) as typical from orders group by o_custkey) a
                      left join hot_keys h on a.o_custkey = h.hot_key

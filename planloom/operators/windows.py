@@ -1,8 +1,8 @@
 """Window queries (W).
 
 The oracles are the plain window functions. The plans use the same functions within the
-bands of `hot_keys.banded` and correct the rows of hot keys by what small per-band
-aggregates say about the other bands. Rows are shuffled once, as in the plain form.
+pieces of `hot_keys.banded` and correct the rows of hot keys by what small aggregates say about
+the other pieces. Rows meet their window and their correction by the same key and piece.
 """
 
 from planloom.operators.hot_keys import banded, hot_keys
@@ -13,28 +13,44 @@ QUERIES = [
         "w1_ranking",
         ("orders",),
         (
-            *banded("orders", "o_custkey", "o_totalprice"),
+            *banded("orders", "o_custkey", "o_totalprice", "o_orderkey"),
+            (
+                "pieces",
+                """
+                select o_custkey, band, piece, count(*) as n, count(distinct o_totalprice) as prices
+                from banded where hot_rows is not null group by o_custkey, band, piece
+                """,
+            ),
+            # Prices of a band cut into pieces are one price.
             (
                 "dearer",
                 """
-                select o_custkey, band,
-                       sum(n) over above as orders_above, sum(prices) over above as prices_above
-                from (select o_custkey, band, count(*) as n, count(distinct o_totalprice) as prices
-                      from banded where hot_rows is not null group by o_custkey, band)
-                window above as (partition by o_custkey order by band desc
-                                 rows between unbounded preceding and 1 preceding)
+                select o_custkey, piece, orders_before,
+                       orders_before - coalesce(sum(n) over before_in_band, 0) as orders_above,
+                       (sum(if(first_piece = piece, prices, 0)) over by_price)
+                       - if(first_piece = piece, prices, 0)
+                       - coalesce(sum(if(first_piece = piece, prices, 0)) over before_in_band, 0) as prices_above
+                from (select *, (sum(n) over by_price) - n as orders_before,
+                             min(piece) over (partition by o_custkey, band) as first_piece
+                      from pieces p
+                      window by_price as (partition by o_custkey order by band desc, piece
+                                          rows between unbounded preceding and current row)) p
+                window by_price as (partition by o_custkey order by band desc, piece
+                                    rows between unbounded preceding and current row),
+                       before_in_band as (partition by o_custkey, band order by piece
+                                          rows between unbounded preceding and 1 preceding)
                 """,
             ),
             (
                 "result",
                 """
-                select /*+ broadcast(d) */ b.o_orderkey, b.o_custkey,
-                       row_number() over price_then_key + coalesce(d.orders_above, 0) as rn,
+                select b.o_orderkey, b.o_custkey,
+                       row_number() over price_then_key + coalesce(d.orders_before, 0) as rn,
                        rank() over price + coalesce(d.orders_above, 0) as rnk,
                        dense_rank() over price + coalesce(d.prices_above, 0) as dense
-                from banded b left join dearer d on b.o_custkey <=> d.o_custkey and b.band = d.band
-                window price as (partition by b.o_custkey, b.band order by b.o_totalprice desc),
-                       price_then_key as (partition by b.o_custkey, b.band
+                from banded b left join dearer d on b.o_custkey <=> d.o_custkey and b.piece = d.piece
+                window price as (partition by b.o_custkey, b.piece order by b.o_totalprice desc),
+                       price_then_key as (partition by b.o_custkey, b.piece
                                           order by b.o_totalprice desc, b.o_orderkey)
                 """,
             ),
@@ -51,30 +67,34 @@ QUERIES = [
         "w2_distribution",
         ("orders",),
         (
-            *banded("orders", "o_custkey", "o_totalprice"),
+            *banded("orders", "o_custkey", "o_totalprice", "o_orderkey"),
             (
                 "cheaper",
                 """
-                select o_custkey, band,
-                       coalesce(sum(n) over (partition by o_custkey order by band
-                                             rows between unbounded preceding and 1 preceding), 0) as orders_below
-                from (select o_custkey, band, count(*) as n
-                      from banded where hot_rows is not null group by o_custkey, band)
+                select o_custkey, piece, rows_before, band_rows, orders_before - coalesce(within_band, 0) as orders_below
+                from (select o_custkey, piece, band,
+                             sum(n) over (partition by o_custkey order by piece) - n as rows_before,
+                             sum(n) over (partition by o_custkey order by piece) - n as orders_before,
+                             sum(n) over (partition by o_custkey, band) as band_rows,
+                             sum(n) over (partition by o_custkey, band order by piece) - n as within_band
+                      from (select o_custkey, band, piece, count(*) as n
+                            from banded where hot_rows is not null group by o_custkey, band, piece))
                 """,
             ),
             (
                 "placed",
                 """
-                select /*+ broadcast(c) */ b.o_orderkey, b.o_custkey, b.hot_rows,
-                       row_number() over price_then_key - 1 + c.orders_below as hot_position,
+                select b.o_orderkey, b.o_custkey, b.hot_rows,
+                       row_number() over price_then_key - 1 + c.rows_before as hot_position,
                        rank() over price - 1 + c.orders_below as hot_below,
-                       count(*) over price + c.orders_below as hot_not_above,
+                       -- the rows of a band with an odd number are all peers
+                       if(pmod(b.band, 2) = 1, c.band_rows, count(*) over price) + c.orders_below as hot_not_above,
                        ntile(4) over price_then_key as tile,
                        percent_rank() over price as pct,
                        cume_dist() over price as cume
-                from banded b left join cheaper c on b.o_custkey <=> c.o_custkey and b.band = c.band
-                window price as (partition by b.o_custkey, b.band order by b.o_totalprice),
-                       price_then_key as (partition by b.o_custkey, b.band order by b.o_totalprice, b.o_orderkey)
+                from banded b left join cheaper c on b.o_custkey <=> c.o_custkey and b.piece = c.piece
+                window price as (partition by b.o_custkey, b.piece order by b.o_totalprice),
+                       price_then_key as (partition by b.o_custkey, b.piece order by b.o_totalprice, b.o_orderkey)
                 """,
             ),
             # For hot keys the definitions of the three functions, from position and total:
@@ -109,14 +129,14 @@ QUERIES = [
         "w3_neighbours",
         ("events",),
         (
-            *banded("events", "user_id", "ts"),
+            *banded("events", "user_id", "ts", "event_id"),
             (
                 "band_ends",
                 """
-                select user_id, band,
+                select user_id, piece,
                        min_by(struct(value, event_type), struct(ts, event_id)) as head,
                        max_by(struct(value, event_type), struct(ts, event_id)) as tail
-                from banded where hot_rows is not null group by user_id, band
+                from banded where hot_rows is not null group by user_id, piece
                 """,
             ),
             (
@@ -132,33 +152,33 @@ QUERIES = [
             (
                 "surroundings",
                 """
-                select e.user_id, e.band, s.second_id,
+                select e.user_id, e.piece, s.second_id,
                        lag(e.tail) over in_time as before, lead(e.head) over in_time as after,
                        first_value(e.head) over whole as opening, last_value(e.tail) over whole as closing
                 from band_ends e left join second_event s on e.user_id <=> s.user_id
-                window in_time as (partition by e.user_id order by e.band),
-                       whole as (partition by e.user_id order by e.band
+                window in_time as (partition by e.user_id order by e.piece),
+                       whole as (partition by e.user_id order by e.piece
                                  rows between unbounded preceding and unbounded following)
                 """,
             ),
             (
                 "result",
                 """
-                select /*+ broadcast(s) */ b.event_id, b.user_id,
+                select b.event_id, b.user_id,
                        case when s.before is not null and lag(b.event_id) over in_time is null
                             then s.before.value else lag(b.value, 1, 0.0D) over in_time end as prev_value,
                        case when s.after is not null and lead(b.event_id) over in_time is null
                             then s.after.event_type else lead(b.event_type, 1, 'none') over in_time
                        end as next_type,
-                       case when s.band is null then first_value(b.value) over whole
+                       case when s.piece is null then first_value(b.value) over whole
                             else s.opening.value end as first_value,
-                       case when s.band is null then last_value(b.value) over whole
+                       case when s.piece is null then last_value(b.value) over whole
                             else s.closing.value end as last_value,
-                       case when s.band is null then nth_value(b.event_id, 2) over whole
+                       case when s.piece is null then nth_value(b.event_id, 2) over whole
                             else s.second_id end as second_event
-                from banded b left join surroundings s on b.user_id <=> s.user_id and b.band = s.band
-                window in_time as (partition by b.user_id, b.band order by b.ts, b.event_id),
-                       whole as (partition by b.user_id, b.band order by b.ts, b.event_id
+                from banded b left join surroundings s on b.user_id <=> s.user_id and b.piece = s.piece
+                window in_time as (partition by b.user_id, b.piece order by b.ts, b.event_id),
+                       whole as (partition by b.user_id, b.piece order by b.ts, b.event_id
                                  rows between unbounded preceding and unbounded following)
                 """,
             ),
@@ -176,23 +196,23 @@ QUERIES = [
                          rows between unbounded preceding and unbounded following)
         """,
     ),
-    # The running sum of a hot key's band starts from the sums of the earlier bands. The moving
-    # average needs two earlier rows: the last two of each band are repeated in the bands whose
+    # The running sum of a hot key's piece starts from the sums of the earlier ones. The moving
+    # average needs two earlier rows: the last two of each piece are repeated in the pieces whose
     # frames reach back to them, and dropped again at the end.
     Query(
         "w4_running",
         ("events",),
         (
-            *banded("events", "user_id", "ts"),
+            *banded("events", "user_id", "ts", "event_id"),
             (
                 "earlier",
                 """
-                select user_id, band, n,
+                select user_id, piece, n,
                        coalesce(sum(n) over before, 0) as rows_before,
                        sum(total) over before as total_before
-                from (select user_id, band, count(*) as n, sum(value) as total
-                      from banded where hot_rows is not null group by user_id, band)
-                window before as (partition by user_id order by band
+                from (select user_id, piece, count(*) as n, sum(value) as total
+                      from banded where hot_rows is not null group by user_id, piece)
+                window before as (partition by user_id order by piece
                                   rows between unbounded preceding and 1 preceding)
                 """,
             ),
@@ -200,8 +220,8 @@ QUERIES = [
                 "tails",
                 """
                 select * from (
-                    select user_id, band, event_id, ts, value,
-                           row_number() over (partition by user_id, band
+                    select user_id, piece, event_id, ts, value,
+                           row_number() over (partition by user_id, piece
                                               order by ts desc, event_id desc) as from_end
                     from banded where hot_rows is not null)
                 where from_end <= 2
@@ -210,42 +230,42 @@ QUERIES = [
             (
                 "repeated",
                 """
-                select t.user_id, e.band, t.event_id, t.ts, t.value
+                select t.user_id, e.piece, t.event_id, t.ts, t.value
                 from (select t.user_id, t.event_id, t.ts, t.value,
                              explode(array(e.rows_before + e.n - t.from_end + 1,
                                            e.rows_before + e.n - t.from_end + 2)) as reaches
-                      from tails t join earlier e on t.user_id <=> e.user_id and t.band = e.band) t
+                      from tails t join earlier e on t.user_id <=> e.user_id and t.piece = e.piece) t
                      join earlier e on t.user_id <=> e.user_id and t.reaches = e.rows_before
                 """,
             ),
             (
                 "extended",
                 """
-                select user_id, band, event_id, ts, value, true as own from banded
+                select user_id, piece, event_id, ts, value, true as own from banded
                 union all
-                select user_id, band, event_id, ts, value, false as own from repeated
+                select user_id, piece, event_id, ts, value, false as own from repeated
                 """,
             ),
             (
                 "framed",
                 """
-                select /*+ broadcast(e) */ x.event_id, x.user_id, x.own,
+                select x.event_id, x.user_id, x.own,
                        sum(case when x.own then x.value end) over (
-                           partition by x.user_id, x.band order by x.ts, x.event_id
-                           rows between unbounded preceding and current row) as within_band,
+                           partition by x.user_id, x.piece order by x.ts, x.event_id
+                           rows between unbounded preceding and current row) as within_piece,
                        e.total_before,
-                       avg(x.value) over (partition by x.user_id, x.band order by x.ts, x.event_id
+                       avg(x.value) over (partition by x.user_id, x.piece order by x.ts, x.event_id
                                           rows between 2 preceding and current row) as moving
-                from extended x left join earlier e on x.user_id <=> e.user_id and x.band = e.band
+                from extended x left join earlier e on x.user_id <=> e.user_id and x.piece = e.piece
                 """,
             ),
             (
                 "result",
                 """
                 select event_id, user_id, round(moving, 6) as moving_mean,
-                       -- null only where neither this band nor an earlier one has had a value
-                       round(case when total_before is null then within_band
-                                  else total_before + coalesce(within_band, 0.0D) end, 2) as running_total
+                       -- null only where neither this piece nor an earlier one has had a value
+                       round(case when total_before is null then within_piece
+                                  else total_before + coalesce(within_piece, 0.0D) end, 2) as running_total
                 from framed where own
                 """,
             ),
@@ -279,7 +299,7 @@ QUERIES = [
                 "spread",
                 """
                 select event_id, user_id, ts, own_hour, explode(hours) as frame_hour
-                from (select /*+ broadcast(k) */ e.event_id, e.user_id, e.ts,
+                from (select e.event_id, e.user_id, e.ts,
                              case when k.hot_rows is not null then e.hour end as own_hour,
                              case when k.hot_rows is not null and e.hour is not null
                                   then array(e.hour, e.hour + interval 1 hour)
@@ -325,14 +345,14 @@ QUERIES = [
             (
                 "hot_totals",
                 """
-                select /*+ broadcast(h) */ h.hot_key, h.pieces, sum(o.o_totalprice) as total
+                select h.hot_key, h.pieces, sum(o.o_totalprice) as total
                 from orders o join hot_keys h on o.o_custkey <=> h.hot_key group by h.hot_key, h.pieces
                 """,
             ),
             (
                 "salted",
                 """
-                select /*+ broadcast(t) */ o.o_orderkey, o.o_custkey, o.o_totalprice, t.total,
+                select o.o_orderkey, o.o_custkey, o.o_totalprice, t.total,
                        coalesce(pmod(xxhash64(o.o_orderkey), t.pieces), 0) as salt
                 from orders o left join hot_totals t on o.o_custkey <=> t.hot_key
                 """,

@@ -59,7 +59,7 @@ def test_top_rows_are_limited_before_the_shuffle(unbroadcast, name):
 @pytest.mark.parametrize("name", ["w1_ranking", "w2_distribution", "w4_running", "w7_share", "j13_as_of"])
 def test_rows_meet_their_window_by_key_and_piece(unbroadcast, name):
     text = explain(CATALOGUE[name](unbroadcast, SMALL))
-    assert re.search(r"hashpartitioning\(\w+#\d+L?, (band|salt)#\d+L?", text)
+    assert re.search(r"hashpartitioning\(\w+#\d+L?, (piece|salt)#\d+L?", text)
 
 
 @pytest.mark.parametrize(

@@ -1,12 +1,9 @@
 """Queries that split hot keys, on tables where one key holds a third of the rows.
 
-The oracles are the plain forms. Without the least number of rows that makes a key hot, small
-tables take the same path as large ones. The tables hold ties, a heavy key whose order values are
-all equal, session gaps of exactly the limit, and keys on both sides of the hot threshold.
+The oracles are the plain forms. The tables hold ties, a heavy key whose order values are all equal, session gaps of
+exactly the limit, and, in one draw, nulls in every column, times centuries off, and a value that half the rows share.
 """
 
-from dataclasses import replace
-
 import numpy as np
 import pandas as pd
 import pytest
@@ -14,11 +11,10 @@ from oracle import assert_same
 
 import duckdb
 from planloom.operators import CATALOGUE
-from conftest import TEST_DATA
-from planloom.operators.hot_keys import HOT_ROWS, HOT_SHARE, PIECES, banded, hot_keys
+from planloom.operators.hot_keys import MOST_PIECES, PIECE_ROWS, banded, hot_keys
 from planloom.operators.query import Query
 
-ROWS = 9000
+ROWS = 24000
 
 
 def skewed_keys(rng, others):
@@ -30,11 +26,11 @@ def skewed_keys(rng, others):
     return keys.astype("int64")
 
 
-@pytest.fixture(scope="module", params=["one", "two", "null"])
+@pytest.fixture(scope="module", params=["one", "two", "null", "dirty"])
 def tables(request, tmp_path_factory):
-    """Two draws, and one in which the heaviest key is NULL."""
+    """Two draws, one in which the heaviest key is NULL, and one with dirty rows."""
     rng = np.random.default_rng(len(request.param))
-    folder = tmp_path_factory.mktemp("skewed")
+    folder = tmp_path_factory.mktemp(f"skewed_{request.param}")
 
     customers = skewed_keys(rng, 3000)
     prices = np.round(rng.integers(1, 400, ROWS) * 12.5, 2)  # few distinct values: many ties
@@ -73,6 +69,20 @@ def tables(request, tmp_path_factory):
     if request.param == "null":
         orders["o_custkey"] = orders["o_custkey"].astype("Int64").mask(orders["o_custkey"] == 7)
         events["user_id"] = events["user_id"].astype("Int64").mask(events["user_id"] == 7)
+    if request.param == "dirty":
+        for column in ("o_totalprice", "o_orderdate", "o_custkey"):
+            orders[column] = orders[column].astype("Int64" if column == "o_custkey" else orders[column].dtype)
+            orders.loc[rng.random(ROWS) < 0.05, column] = None
+        orders.loc[rng.random(ROWS) < 0.5, "o_totalprice"] = 77.0
+        events["user_id"] = events["user_id"].astype("Int64")
+        for column in ("value", "event_type", "user_id"):
+            events.loc[rng.random(n) < 0.1, column] = None
+        events.loc[events["user_id"].eq(7) & (events["ts"] < "2024-01-20"), "value"] = None
+        events["ts"] = events["ts"].astype("datetime64[us]")
+        events.loc[rng.random(n) < 0.4, "ts"] = pd.Timestamp("2024-02-01 10:00:00")
+        events.loc[rng.choice(n, 6), "ts"] = pd.Timestamp("1970-01-01")
+        events.loc[rng.choice(n, 6), "ts"] = np.datetime64("9999-12-30T00:00:00", "us")
+        events.loc[rng.random(n) < 0.05, "ts"] = pd.NaT
     for name, frame in {"orders": orders, "events": events, "customer": customer}.items():
         for column in frame.select_dtypes("datetime"):
             frame[column] = frame[column].astype("datetime64[us]")
@@ -86,53 +96,65 @@ SPLIT = [
 ]
 
 
-def at_any_size(query):
-    """The query with every key hot that holds its share of the rows, however few they are."""
-    return replace(query, steps=tuple((step, sql.replace(f"greatest({HOT_ROWS},", "greatest(0,"))
-                                      for step, sql in query.steps))
-
-
-def assert_equals_plain_form(spark, query, folder):
-    with duckdb.connect() as oracle:
-        for table in query.tables:
-            oracle.sql(f"create view {table} as select * from read_parquet('{folder}/{table}.parquet')")
-        assert_same(query(spark, folder).toArrow(), oracle.sql(query.oracle).to_arrow_table())
+# Which of several views of one time counts is open in the registered form; here it is the one with the largest id.
+AS_OF = """
+    select p.event_id as purchase_id, p.user_id, arg_max(v.event_id, (v.ts, v.event_id)) as view_id
+    from (select * from events where event_type = 'purchase') p
+         left join (select * from events where event_type = 'view') v on p.user_id = v.user_id and v.ts <= p.ts
+    group by all
+"""
 
 
 @pytest.mark.parametrize("name", SPLIT)
 def test_equals_plain_form(spark, tables, name):
-    assert_equals_plain_form(spark, at_any_size(CATALOGUE[name]), tables)
-
-
-@pytest.mark.parametrize("name", [name for name in SPLIT if "hot_keys" in dict(CATALOGUE[name].steps)])
-def test_splitting_given_tables(spark, name):
-    assert at_any_size(CATALOGUE[name]) != CATALOGUE[name]
-    assert_equals_plain_form(spark, at_any_size(CATALOGUE[name]), str(TEST_DATA / "sf0.01"))
+    query = CATALOGUE[name]
+    if "dirty" in tables and name == "a18_session_window":
+        pytest.skip("a window over times has no place for null ones")
+    with duckdb.connect() as oracle:
+        oracle.sql("set default_null_order = 'nulls_first_on_asc_last_on_desc'")
+        for table in query.tables:
+            oracle.sql(f"create view {table} as select * from read_parquet('{tables}/{table}.parquet')")
+        plain = AS_OF if name == "j13_as_of" else query.oracle
+        assert_same(query(spark, tables).toArrow(), oracle.sql(plain).to_arrow_table())
 
 
-def test_hot_keys_are_few_and_found(spark, tables):
-    hot_rows = at_any_size(Query("x", ("orders",), hot_keys("orders", "o_custkey")))(spark, tables).collect()
-    hot = {row.hot_key: row for row in hot_rows}
+def test_hot_keys_are_those_of_several_pieces(spark, tables):
+    hot = {row.hot_key: row for row in Query("x", ("orders",), hot_keys("orders", "o_custkey"))(spark, tables).collect()}
     counts = Query("x", ("orders",), (("n", "select o_custkey, count(*) as n from orders group by all"),))
     exact = {row.o_custkey: row.n for row in counts(spark, tables).collect()}
-    assert {key: row.hot_rows for key, row in hot.items()} == {
-        key: n for key, n in exact.items() if n * HOT_SHARE > ROWS}
-    assert 8 in hot and 2 <= len(hot) < HOT_SHARE < len(exact)
-    assert sum(row.pieces for row in hot.values()) <= PIECES + HOT_SHARE
-
-
-def test_bands_follow_the_order_and_split_the_heavy_key(spark, tables):
-    frame = at_any_size(Query("x", ("events",), banded("events", "user_id", "ts")))(spark, tables)
-    frame = frame.cache()
-    rows = sorted((row.ts, row.band) for row in frame.where("user_id <=> 7 or user_id is null").collect())
-    bands = [band for _, band in rows]
-    assert bands == sorted(bands)
-    assert max(bands.count(band) for band in set(bands)) < len(bands) / 50
-    assert {row.band for row in frame.where("hot_rows is null").collect()} <= {0}
+    assert {key: row.hot_rows for key, row in hot.items()} == {key: n for key, n in exact.items() if n > PIECE_ROWS}
+    assert 8 in hot and len(hot) >= 2
+    assert all(row.pieces == min(MOST_PIECES, -(-row.hot_rows // PIECE_ROWS)) for row in hot.values())
+
+
+@pytest.mark.parametrize(
+    ("table", "key", "order", "row"), [("events", "user_id", "ts", "event_id"), ("orders", "o_custkey", "o_totalprice", "o_orderkey")]
+)
+def test_pieces_follow_the_order_and_are_even(spark, tables, table, key, order, row):
+    frame = Query("x", (table,), banded(table, key, order, row))(spark, tables).select(key, order, row, "hot_rows", "band", "piece")
+    heavy = {}
+    for r in frame.collect():
+        if r.hot_rows is None:
+            assert (r.band, r.piece) == (0, 0)
+        else:
+            heavy.setdefault(r[key], []).append(((r[order] is not None, r[order], r[row]), r.band, r.piece))
+    assert heavy
+    for rows in heavy.values():
+        rows.sort(key=lambda r: r[0] if r[0][0] else (False, 0, r[0][2]))
+        bands, pieces = [r[1] for r in rows], [r[2] for r in rows]
+        assert bands == sorted(bands) and pieces == sorted(pieces)
+        values = {}
+        for (_, value, _), band, piece in rows:
+            values.setdefault(band, set()).add(value)
+        assert all(len(found) == 1 for band, found in values.items() if band % 2)
+        most = max(pieces.count(piece) for piece in set(pieces))
+        assert most <= 3 * PIECE_ROWS
 
 
 def test_sessions_shuffle_half_hours_not_events(spark, tables):
     """The rows that reach the per-user sort are bounded by the time span, not by the events."""
     query = CATALOGUE["a18_session_window"]
+    if "dirty" in tables:
+        pytest.skip("its times are too far apart")
     reduced = Query("x", query.tables, query.steps[:1])(spark, tables)
     assert reduced.where("user_id <=> 7 or user_id is null").count() <= 60 * 48
