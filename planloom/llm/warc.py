@@ -39,7 +39,8 @@ CONTROL = re.compile(r"[\x00-\x1f\x7f]+")
 
 def page_text(page: str) -> str:
     """The visible text of an HTML page: a line for each block, white space collapsed, entities resolved."""
-    text = html.unescape(TAG.sub("", BREAK.sub("\n", UNSEEN.sub(" ", page))))
+    source = " ".join(UNSEEN.sub(" ", page).split())
+    text = html.unescape(TAG.sub("", BREAK.sub("\n", source)))
     lines = (" ".join(line.split()) for line in text.split("\n"))
     return "\n".join(line for line in lines if line)
 
