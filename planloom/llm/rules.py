@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planloom.llm.statistics import COUNTS, NAMES, described, labelled_sample
+from planloom.llm.statistics import COUNTS, NAMES, RATIOS, described, labelled_sample
 
 # Labelled documents learned from, at most.
 SAMPLE = 20_000
@@ -21,6 +21,8 @@ SAMPLE = 20_000
 CUTS = 64
 CONDITIONS = 4
 RULES = 12
+# Rules grown, accepted or not.
+ATTEMPTS = 40
 # The share of low-quality documents among those that an accepted rule covers, at least, and the fewest that it must cover.
 PRECISION = 0.98
 SUPPORT = 5
@@ -54,21 +56,28 @@ def covered(rule: Rule, features: np.ndarray) -> np.ndarray:
 
 
 def learned_rules(features: np.ndarray, labels: np.ndarray) -> list[Rule]:
-    """Rules that reject documents of label 0, in order; none where the sample has a single label."""
+    """Rules that reject documents of label 0, in order; none where the sample has a single label.
+
+    The poor documents that a rule covers are taken out before the next one is grown, whether the rule was
+    accepted or not.
+    """
     order = np.random.default_rng(5).permutation(len(labels))
     grow, prune = order[len(order) // 3 :], order[: len(order) // 3]
     bad, rules = labels == 0, []
     left = np.ones(len(labels), dtype=bool)
-    while len(rules) < RULES:
+    for _ in range(ATTEMPTS):
         growing, pruning = grow[left[grow]], prune[left[prune]]
-        if not bad[growing].any() or bad[growing].all():
+        if len(rules) == RULES or bad[growing].sum() < SUPPORT or bad[growing].all():
             break
         rule = _pruned(_grown(features[growing], bad[growing]), features[pruning], bad[pruning])
         hits = covered(rule, features) & left
-        if not rule or hits.sum() < SUPPORT or _precision(hits[pruning], bad[pruning]) < PRECISION or bad[hits].mean() < PRECISION:
+        if not (hits & bad).any():
             break
-        rules.append(rule)
-        left &= ~hits
+        if hits.sum() >= SUPPORT and _precision(hits[pruning], bad[pruning]) >= PRECISION and bad[hits].mean() >= PRECISION:
+            rules.append(rule)
+            left &= ~hits
+        else:
+            left &= ~(hits & bad)
     return rules
 
 
@@ -84,8 +93,9 @@ def _grown(features: np.ndarray, bad: np.ndarray) -> Rule:
         if share in (0.0, 1.0):
             break
         best, best_gain = None, 1e-9
-        for n, name in enumerate(NAMES):
-            values = features[:, n]
+        # Ratios first: where a ratio and a count are worth the same, the ratio is kept, as it holds for texts of any length.
+        for name in RATIOS + COUNTS:
+            values = features[:, NAMES.index(name)]
             cuts = np.unique(np.quantile(values, np.linspace(0, 1, CUTS + 2)[1:-1]))
             places = np.searchsorted(cuts, values, side="left")
             good_at = np.bincount(places[~bad], minlength=len(cuts) + 1)
@@ -112,13 +122,11 @@ def _grown(features: np.ndarray, bad: np.ndarray) -> Rule:
 
 
 def _pruned(rule: Rule, features: np.ndarray, bad: np.ndarray) -> Rule:
-    """The rule cut after the condition from which on it's worth most on documents it wasn't grown on."""
-    worth = []
-    for size in range(1, len(rule) + 1):
-        hits = covered(rule[:size], features)
-        right, wrong = int(bad[hits].sum()), int((~bad[hits]).sum())
-        worth.append((right - wrong) / (right + wrong) if right + wrong else -1.0)
-    return rule[: int(np.argmax(worth)) + 1] if worth else rule
+    """The shortest beginning of the rule that is precise on documents it wasn't grown on; all of it if none is."""
+    for size in range(1, len(rule)):
+        if _precision(covered(rule[:size], features), bad) >= PRECISION:
+            return rule[:size]
+    return rule
 
 
 def first_rule(rules: list[Rule]) -> Column:
@@ -141,8 +149,8 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     `docs` has doc_id and text, `labels` doc_id and quality (1 good, 0 poor); other columns are ignored. base_failed: fewer
     than 10 words, or more than a fifth of the words repeated. kept: neither base_failed nor covered by a learned
-    rule; `rule` is the number of the first rule that covers the document, 0 for none. Rules are learned from at most SAMPLE
-    labelled documents outside the held-out third. Without usable labels there are no rules and the base decides alone.
+    rule; `rule` is the number of the first rule that covers the document, 0 for none. Rules are learned from those of at most SAMPLE
+    labelled documents outside the held-out third that the base passes. Without usable labels there are no rules and the base decides alone.
 
     Null and empty texts have no words and fail. Repeated rows and null doc_ids are rows as any other.
     """
@@ -164,5 +172,14 @@ def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _ruled(docs: DataFrame, labels: DataFrame, *keep: str) -> DataFrame:
-    rules = learned_rules(*labelled_sample(docs, labels, "quality", SAMPLE))
+    rules = quality_rules(docs, labels)
     return described(docs, *keep).withColumn("rule", first_rule(rules))
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame) -> list[Rule]:
+    """The decision list for `judged`."""
+    features, quality = labelled_sample(docs, labels, "quality", SAMPLE)
+    words, repeated = (features[:, NAMES.index(name)] for name in ("n_words", "n_repeat_words"))
+    # What the base rejects needs no rule.
+    passed = (words >= 10) & (100 * repeated <= 20 * words)
+    return learned_rules(features[passed], quality[passed])

@@ -11,7 +11,7 @@ from corpus_tables import folder, held_out, rows_of
 
 from planloom.llm import quality, rules
 from planloom.llm.queries import QUERIES
-from planloom.llm.statistics import NAMES, labelled_sample, statistics
+from planloom.llm.statistics import NAMES, statistics
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -57,7 +57,7 @@ def test_rules_query_on_odd_rows(spark, odd_folder, odd_rows):
 def test_verdicts_are_the_first_rule_that_covers(spark):
     data = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
-    learned = rules.learned_rules(*labelled_sample(docs, labels, "quality", rules.SAMPLE))
+    learned = rules.quality_rules(docs, labels)
     assert learned
     texts = dict(zip(*(pq.read_table(f"{data}/documents.parquet").column(n).to_pylist() for n in ("doc_id", "text")), strict=True))
     for row in rows_of(QUERIES["op4_quality_rules"](spark, data)):
@@ -106,6 +106,16 @@ def test_held_out_accuracy(spark):
     assert np.mean([a > b for a in good for b in bad]) > 0.97
 
 
+def test_rules_on_held_out_labels(spark):
+    """Rejects poor documents that the base passes, and no good ones."""
+    data = "/root/testdata/sf0.1"
+    labels = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{data}/labels.parquet").to_pylist()}
+    rows = [r for r in rows_of(QUERIES["op4_quality_rules"](spark, data)) if held_out(r["doc_id"]) and not r["base_failed"]]
+    good, poor = ([r for r in rows if labels.get(r["doc_id"]) == n] for n in (1, 0))
+    assert len(good) > 1000 and np.mean([r["kept"] for r in good]) > 0.998
+    assert len(poor) > 20 and np.mean([r["kept"] for r in poor]) < 0.05
+
+
 def test_scores_on_odd_rows(spark, odd_folder, odd_rows):
     found = rows_of(QUERIES["op2_quality_classifier"](spark, odd_folder))
     assert sorted(((r["doc_id"], r["held_out"]) for r in found), key=repr) == sorted(
