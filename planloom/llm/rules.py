@@ -18,8 +18,8 @@ from planloom.llm.statistics import COUNTS, NAMES, RATIOS, described, labelled_s
 # Labelled documents learned from, at most.
 SAMPLE = 20_000
 # Thresholds tried for each statistic, at quantiles.
-CUTS = 64
-CONDITIONS = 4
+CUTS = 256
+CONDITIONS = 6
 RULES = 12
 # Rules grown, accepted or not.
 ATTEMPTS = 40
