@@ -160,6 +160,96 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
+OP1_SQL = r"""
+    with recursive words as (
+        select doc_id, regexp_extract_all(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x20\x09-\x0D]+') as w
+        from documents
+    ),
+    shingles as (
+        select distinct doc_id, unnest(case when len(w) < 2 then w
+                                            else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as g
+        from words
+    ),
+    sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+    pairs as (
+        select a.doc_id as x, b.doc_id as y, count(*) as common
+        from shingles a join shingles b on a.g = b.g and a.doc_id < b.doc_id group by all
+    ),
+    links as (
+        select x, y from pairs join sizes s on s.doc_id = x join sizes t on t.doc_id = y
+        where 100 * common >= 80 * (s.n + t.n - common)
+    ),
+    both_ways as (select x, y from links union select y, x from links),
+    reached as (
+        select doc_id as x, doc_id as y from documents
+        union
+        select r.x, l.y from reached r join both_ways l on r.y = l.x
+    ),
+    lowest as (select x, min(y) as component_id from reached group by x)
+    select d.doc_id, coalesce(s.n, 0) as n_shingles, l.component_id, d.doc_id = l.component_id as kept
+    from documents d join lowest l on l.x = d.doc_id left join sizes s on s.doc_id = d.doc_id
+"""
+
+OP9_SQL = """
+    with recursive sound as (
+        select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
+        where label is not null and len(embedding) > 0
+          and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+          and len(list_filter(embedding, lambda x: x <> 0)) > 0
+    ),
+    links as (
+        select a.vec_id as x, b.vec_id as y
+        from sound a join sound b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+        where list_cosine_similarity(a.e, b.e) >= 0.98
+    ),
+    reached as (
+        select vec_id as x, vec_id as y from embeddings
+        union
+        select r.x, l.y from reached r join links l on r.y = l.x
+    ),
+    lowest as (select x, min(y) as component_id from reached group by x),
+    counts as (select x, count(*) as n from links group by x)
+    select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept
+    from embeddings join lowest on lowest.x = vec_id left join counts on counts.x = vec_id
+"""
+
+OP10_SQL = """
+    with texts as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+    starts as (
+        select doc_id, p, h[2 * p + 1 : 2 * p + 400] as s
+        from (select doc_id, h, unnest(range(length(h) // 2 - 199)) as p from texts)
+    ),
+    repeated as (
+        select doc_id, p from (select doc_id, p, count(*) over (partition by s) as n from starts) where n > 1
+    ),
+    -- runs of repeated starts whose strings touch or overlap
+    marked as (
+        select doc_id, p, p - coalesce(lag(p) over (partition by doc_id order by p), -1000) > 200 as opens from repeated
+    ),
+    runs as (
+        select doc_id, min(p) as first, max(p) + 200 as after
+        from (select *, sum(opens::int) over (partition by doc_id order by p) as run from marked) group by doc_id, run
+    ),
+    gaps as (
+        select doc_id, coalesce(lag(after) over (partition by doc_id order by first), 0) as a, first as b from runs
+        union all
+        select doc_id, max(after), 2000000000 from runs group by doc_id
+    ),
+    kept as (
+        select g.doc_id, string_agg(t.h[2 * a + 1 : 2 * b], '' order by a) as h
+        from gaps g join texts t on t.doc_id = g.doc_id group by g.doc_id
+    ),
+    spans as (select doc_id, count(*) as n from runs group by doc_id)
+    select t.doc_id, length(t.h) // 2 as n_bytes, (length(t.h) - length(coalesce(k.h, t.h))) // 2 as n_removed,
+           coalesce(s.n, 0) as n_spans, sha256(unhex(coalesce(k.h, t.h))) as kept_sha256
+    from texts t left join kept k on k.doc_id = t.doc_id left join spans s on s.doc_id = t.doc_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op1_minhash_near_dedup": OP1_SQL,
     "op6_chat_formatting": OP6_SQL,
+    "op9_embedding_near_dedup": OP9_SQL,
+    "op10_suffix_dedup": OP10_SQL,
 }
