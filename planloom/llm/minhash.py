@@ -21,6 +21,8 @@ BAND_ROWS = 6
 BANDS = POSITIONS // BAND_ROWS
 # Bands take positions from a fixed shuffle: one element's best positions lie at equal distances.
 BAND_POSITIONS = np.random.default_rng(7).permutation(POSITIONS)[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS)
+# Rounds in which a bucket's members outside the component of a member picked at random are compared with that one.
+HUB_ROUNDS = 2
 # Values hold the rank in the top byte, so a lower rank always wins.
 RANK_SHIFT = np.uint64(56)
 UNSET = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -97,11 +99,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     A document's set holds its distinct runs of `width` words, letters A-Z lower-cased. Two documents
     are linked if 100 * intersection >= percent * union; component_id is the smallest doc_id that
     links reach. Documents with equal sets form one class and are handled as one. Classes that
-    agree in a band are candidates: each bucket's members are compared with its smallest member,
-    then, where that leaves a bucket in several components, every member outside the smallest one's
-    component with all members of other components. So each pair of a bucket is compared
-    or already connected, and a large group of near copies costs a number of comparisons in
-    proportion to its size.
+    agree in a band are candidates: each bucket's members are compared with its smallest member. While members of a bucket are
+    in several components, those outside the component of a member picked at random are compared with that member. In the
+    end all that are still outside are compared with all members of other components. So each pair
+    of a bucket is compared or already connected, and a large group of near copies costs a
+    number of comparisons in proportion to its size.
 
     Null and empty texts and texts without words have no set, n_shingles 0, and link with nothing. Rows with
     a null doc_id link with nothing and have component_id null, kept true. Repeated rows each get their row. Rows
@@ -119,8 +121,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"), F.first("bands").alias("bands")
     )
     classes = saved(classes, "minhash-classes")
-    links = _links(docs, classes, width, percent)
-    reached = components(links)
+    reached = _reached(docs, classes, width, percent)
     named = classes.select("digest", "rep").join(reached.withColumnRenamed("node", "rep"), "rep", "left").select(
         "digest", F.coalesce("component", "rep").alias("component")
     )
@@ -138,7 +139,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     )
 
 
-def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+def _reached(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, component) of the classes that have links, by their smallest doc_ids."""
     banded = classes.select("rep", "size", F.explode("bands").alias("bucket"))
     hubs = banded.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last")
     members = saved(banded.join(hubs.select("bucket", "hub"), "bucket"), "minhash-members")
@@ -148,31 +150,35 @@ def _links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Dat
     sets = saved(sets, "minhash-sets")
 
     pairs = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    first = saved(_verified(pairs, sets, percent), "minhash-links")
-
-    reached = components(first)
-    placed = members.join(reached.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "bucket", "rep", "size", "hub", F.coalesce("component", "rep").alias("component")
-    )
-    # The hub's component is known from its own row.
-    mixed_buckets = placed.groupBy("bucket").agg(
-        F.min("component").alias("low"),
-        F.max("component").alias("high"),
-        F.max(F.when(F.col("rep") == F.col("hub"), F.col("component"))).alias("main"),
-    ).where("low <> high").select("bucket", "main")
-    placed = saved(placed.join(mixed_buckets, "bucket"), "minhash-mixed")
-    outside = placed.where("component <> main").select(
-        "bucket", F.col("rep").alias("x"), F.col("size").alias("x_size"), F.col("component").alias("x_component")
-    )
-    more = (
-        placed.where("rep <> hub")
-        .join(outside, "bucket")
-        .where("component <> x_component and (component = main or x < rep)")
-        .where(f"100 * least(size, x_size) >= {percent} * greatest(size, x_size)")
-        .select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"))
-        .distinct()
-    )
-    return first.union(saved(_verified(more, sets, percent), "minhash-links"))
+    reached = components(_verified(pairs, sets, percent))
+    similar_size = f"100 * least(size, hub.size) >= {percent} * greatest(size, hub.size)"
+    for number in range(HUB_ROUNDS + 1):
+        placed = members.join(reached.withColumnRenamed("node", "rep"), "rep", "left").select(
+            "bucket", "rep", "size", F.coalesce("component", "rep").alias("component")
+        )
+        # A member that the hash picks, so most likely one of the bucket's largest component.
+        picked = F.min(F.struct(F.xxhash64("rep", "bucket", F.lit(number)).alias("o"), "rep", "size", "component"))
+        parted = placed.groupBy("bucket").agg(
+            picked.alias("hub"), F.min("component").alias("low"), F.max("component").alias("high")
+        )
+        parted = saved(placed.join(parted.where("low <> high").drop("low", "high"), "bucket"), "minhash-parted")
+        outside = parted.where("component <> hub.component")
+        if number < HUB_ROUNDS:
+            pairs = outside.where(similar_size).select("rep", F.col("hub.rep").alias("other"))
+        else:
+            # Everything that is still apart: those outside with all members of other components.
+            outside = outside.select("bucket", F.struct("rep", "size", "component").alias("hub"))
+            pairs = (
+                parted.select("bucket", "rep", "size", "component", F.col("hub.component").alias("main"))
+                .join(outside, "bucket")
+                .where("component <> hub.component and (component = main or rep < hub.rep)")
+                .where(similar_size)
+                .select("rep", F.col("hub.rep").alias("other"))
+            )
+        pairs = pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+        known = reached.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        reached = components(known.union(_verified(pairs, sets, percent)))
+    return reached
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
