@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +24,10 @@ BANDS = POSITIONS // BAND_ROWS
 BAND_POSITIONS = np.random.default_rng(7).permutation(POSITIONS)[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS)
 # Rounds in which a bucket's members outside the component of a member picked at random are compared with that one.
 HUB_ROUNDS = 2
+# Groups of more members are compared in blocks of about BLOCK members and at most about BLOCK_ELEMENTS elements in all.
+SMALL = 16
+BLOCK = 256
+BLOCK_ELEMENTS = 500_000
 # Values hold the rank in the top byte, so a lower rank always wins.
 RANK_SHIFT = np.uint64(56)
 UNSET = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -101,9 +106,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links reach. Documents with equal sets form one class and are handled as one. Classes that
     agree in a band are candidates: each bucket's members are compared with its smallest member. While members of a bucket are
     in several components, those outside the component of a member picked at random are compared with that member. In the
-    end all that are still outside are compared with all members of other components. So each pair
-    of a bucket is compared or already connected, and a large group of near copies costs a
-    number of comparisons in proportion to its size.
+    end all that are still outside are compared with all members of other components, in blocks where
+    there are many. So each pair of a bucket is compared or already connected, and no more pairs are listed than a
+    few for each member.
 
     Null and empty texts and texts without words have no set, n_shingles 0, and link with nothing. Rows with
     a null doc_id link with nothing and have component_id null, kept true. Repeated rows each get their row. Rows
@@ -151,36 +156,114 @@ def _reached(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> D
 
     pairs = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     reached = components(_verified(pairs, sets, percent))
-    similar_size = f"100 * least(size, hub.size) >= {percent} * greatest(size, hub.size)"
     for number in range(HUB_ROUNDS + 1):
-        placed = members.join(reached.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "bucket", "rep", "size", F.coalesce("component", "rep").alias("component")
-        )
-        # A member that the hash picks, so most likely one of the bucket's largest component.
-        picked = F.min(F.struct(F.xxhash64("rep", "bucket", F.lit(number)).alias("o"), "rep", "size", "component"))
-        parted = placed.groupBy("bucket").agg(
-            picked.alias("hub"), F.min("component").alias("low"), F.max("component").alias("high")
-        )
-        parted = saved(placed.join(parted.where("low <> high").drop("low", "high"), "bucket"), "minhash-parted")
-        outside = parted.where("component <> hub.component")
+        parted = _parted(members, reached, number)
+        known = reached.select(F.col("node").alias("a"), F.col("component").alias("b"))
         if number < HUB_ROUNDS:
-            pairs = outside.where(similar_size).select("rep", F.col("hub.rep").alias("other"))
-        else:
-            # Everything that is still apart: those outside with all members of other components.
-            outside = outside.select("bucket", F.struct("rep", "size", "component").alias("hub"))
-            pairs = (
-                parted.select("bucket", "rep", "size", "component", F.col("hub.component").alias("main"))
-                .join(outside, "bucket")
-                .where("component <> hub.component and (component = main or rep < hub.rep)")
-                .where(similar_size)
-                .select("rep", F.col("hub.rep").alias("other"))
+            pairs = parted.where("component <> hub.component").where(
+                f"100 * least(size, hub.size) >= {percent} * greatest(size, hub.size)"
             )
-        pairs = pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-        known = reached.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        reached = components(known.union(_verified(pairs, sets, percent)))
+            pairs = pairs.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
+            found = _verified(pairs, sets, percent)
+        else:
+            found = _rest(parted, sets, percent)
+        reached = components(known.union(found))
     return reached
 
 
+def _parted(members: DataFrame, reached: DataFrame, number: int) -> DataFrame:
+    """The members of the buckets that hold several components, with each bucket's hub: a member picked by hash."""
+    placed = members.join(reached.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "bucket", "rep", "size", F.coalesce("component", "rep").alias("component")
+    )
+    # Most likely one of the bucket's largest component.
+    picked = F.min(F.struct(F.xxhash64("rep", "bucket", F.lit(number)).alias("o"), "rep", "size", "component"))
+    hubs = placed.groupBy("bucket").agg(picked.alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"))
+    return saved(placed.join(hubs.where("low <> high").drop("low", "high"), "bucket"), "minhash-parted")
+
+
+def _rest(parted: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of everything that is still apart.
+
+    Around the component of each bucket's hub, all its members and all others of its buckets make up a group: whoever is
+    outside the component is compared with the whole group, which holds every pair of a bucket. Groups of
+    up to SMALL members are compared by pairs. Larger ones are compared block against block, and only links come out.
+    """
+    rows = parted.select(F.col("hub.component").alias("main"), "rep", "size", "component").distinct()
+    rows = rows.withColumn("outside", F.expr("component <> main"))
+    groups = rows.groupBy("main").agg(
+        F.count("*").alias("n"),
+        F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_ELEMENTS)).cast("int").alias("blocks"),
+        F.count_if("outside").alias("outsiders"),
+    )
+    rows = saved(rows.join(groups, "main"), "minhash-rest")
+
+    small = rows.where(f"n <= {SMALL}")
+    asked = small.where("outside").select("main", F.struct("rep", "size", "component").alias("o"))
+    pairs = (
+        small.join(asked, "main")
+        .where("component <> o.component and (not outside or rep < o.rep)")
+        .where(f"100 * least(size, o.size) >= {percent} * greatest(size, o.size)")
+        .select(F.least("rep", "o.rep").alias("a"), F.greatest("rep", "o.rep").alias("b"))
+        .distinct()
+    )
+
+    large = rows.where(f"n > {SMALL}").withColumn("asking", F.ceil(F.col("outsiders") * F.col("blocks") / F.col("n")).cast("int"))
+    place = F.xxhash64("rep")
+    asking = large.where("outside").select(
+        "main", "rep", "component", F.pmod(place, "asking").cast("int").alias("x"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"), F.lit(True).alias("asks"),
+    )
+    answering = large.select(
+        "main", "rep", "component", F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("x"),
+        F.pmod(place, "blocks").cast("int").alias("y"), F.lit(False).alias("asks"),
+    )
+    dealt = asking.union(answering).join(sets.withColumnRenamed("doc_id", "rep"), "rep").repartition("main", "x", "y")
+    links = dealt.groupBy("main", "x", "y").applyInPandas(lambda group: _block_links(group, percent), "a long, b long")
+    return _verified(pairs, sets, percent).union(links.distinct())
+
+
+def _block_links(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """For each asking row a link with one row of each other component that it is similar enough to."""
+    asks = group["asks"].to_numpy()
+    rep, component = group["rep"].to_numpy(), group["component"].to_numpy()
+    elements = [np.asarray(x, dtype=np.int64) for x in group["elements"]]
+    left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+    sizes = np.array([len(x) for x in elements])
+    common = _common([elements[n] for n in left], [elements[n] for n in right])
+    linked = 100 * common >= percent * (sizes[left][:, None] + sizes[right] - common)
+    linked &= component[left][:, None] != component[right]
+    a, b = np.nonzero(linked)
+    found = pd.DataFrame({"a": rep[left[a]], "b": rep[right[b]], "c": component[right[b]]})
+    return found.groupby(["a", "c"], as_index=False)["b"].min()[["a", "b"]]
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set."""
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    if not left or not right:
+        return out.astype(np.int64)
+    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    sides = []
+    for side in (left, right):
+        values, rows = np.concatenate(side), np.repeat(np.arange(len(side)), [len(x) for x in side])
+        columns = np.minimum(np.searchsorted(shared, values), max(0, len(shared) - 1))
+        known = shared[columns] == values if len(shared) else np.zeros(len(values), dtype=bool)
+        order = np.argsort(columns[known], kind="stable")
+        sides.append((rows[known][order], columns[known][order], len(side)))
+    # As products of 0/1 matrices, some columns at a time; counts stay exact in single precision below 2**24.
+    width = 2048
+    for start in range(0, len(shared), width):
+        parts = []
+        for rows, columns, count in sides:
+            low, high = np.searchsorted(columns, (start, start + width))
+            part = np.zeros((count, width), dtype=np.float32)
+            part[rows[low:high], columns[low:high] - start] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("a_set"))

@@ -113,3 +113,30 @@ def test_stage_keeps_one_row_of_each_group(spark, odd_folder, odd_rows):
     wanted = {(row[0], row[1]) for row in odd_rows if row[0] is None or row[0] in judged}
     got = [(row["doc_id"], row["text"]) for row in kept]
     assert len(got) == len(set(got)) and set(got) == wanted
+
+
+@pytest.mark.parametrize("small", [0, 1000])
+def test_leftovers_by_pairs_and_in_blocks(spark, monkeypatch, small):
+    """Without rounds of common members, everything apart is compared by pairs or in blocks of a few."""
+    monkeypatch.setattr(minhash, "HUB_ROUNDS", 0)
+    monkeypatch.setattr(minhash, "SMALL", small)
+    monkeypatch.setattr(minhash, "BLOCK", 5)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    rows = []
+    for number in range(45):
+        copy = list(base)
+        for place in rng.sample(range(100), rng.choice([0, 3, 6, 9, 12, 20, 30])):
+            copy[place] = f"w{rng.randrange(10**6)}"
+        rows.append((number, " ".join(copy)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    check(rows, rows_of(near_duplicates(frame, 2)), 2)
+
+
+def test_intersections_by_products():
+    rng = np.random.default_rng(6)
+    sides = [[np.unique(rng.integers(-3000, 3000, rng.integers(0, 900))) for _ in range(n)] for n in (7, 11)]
+    wanted = [[len(np.intersect1d(a, b)) for b in sides[1]] for a in sides[0]]
+    assert minhash._common(*sides).tolist() == wanted
+    assert minhash._common(sides[0], []).shape == (7, 0)
+    assert minhash._common([np.array([1])], [np.array([2])]).tolist() == [[0]]
