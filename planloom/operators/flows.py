@@ -12,7 +12,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from planloom.operators.shared_folder import new_folder, new_table
 from planloom.plans import Plan, plan_from_base64
