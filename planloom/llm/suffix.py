@@ -24,17 +24,17 @@ copies nor a passage found in a third of all documents meet in one task. Compari
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from planloom.llm.storage import saved
-from planloom.llm.words import BASE, byte_rows, mixed, prefix_hashes, span_hashes
+from planloom.llm.words import BASE, INVERSE, byte_rows, mixed, powers, prefix_hashes, span_hashes
 
 # The longest trigger, in bytes.
 GRAM = 32
@@ -55,14 +55,16 @@ class Phrases:
             return
         gram = min(GRAM, (length + 1) // 2)
         prefixes = prefix_hashes(data)
-        starts = np.arange(len(data) - gram + 1)
-        hashes = span_hashes(prefixes, starts, starts + gram)
-        keys = (hashes & ~PLACE_MASK) | starts.astype(np.uint64)
-        least = (_sliding_least(keys, length - gram + 1) & PLACE_MASK).astype(np.int64)
-        self.first = np.flatnonzero(np.diff(least, prepend=-1))
+        # Rolling hashes of all places; their high halves are random enough to choose by.
+        keys = prefixes[gram:] - prefixes[:-gram]
+        keys *= powers(INVERSE, len(keys))
+        keys &= ~PLACE_MASK
+        keys |= np.arange(len(keys), dtype=np.uint64)
+        least = _sliding_least(keys, length - gram + 1) & PLACE_MASK
+        self.first = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
         self.last = np.append(self.first[1:], len(least)) - 1
-        self.places = least[self.first]
-        self.triggers = hashes[self.places]
+        self.places = least[self.first].astype(np.int64)
+        self.triggers = span_hashes(prefixes, self.places, self.places + gram)
         self.ids = span_hashes(prefixes, self.first, self.last + length)
 
 
@@ -128,9 +130,10 @@ def _unpacked(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 
 def _lists(column: pa.Array) -> Iterator[np.ndarray]:
     """The values of a column of lists of longs; an empty one for null."""
-    empty = np.zeros(0, dtype=np.int64)
-    for value in column:
-        yield value.values.to_numpy(zero_copy_only=False) if value.is_valid and len(value.values) else empty
+    values, start = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), 0
+    for size in pa.compute.list_value_length(column).fill_null(0).to_pylist():
+        yield values[start : start + size]
+        start += size
 
 
 def _open_phrases(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -208,42 +211,50 @@ def _strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
             )
 
 
-def _repeated_starts(phrases: Phrases, settled: np.ndarray, found: list[dict] | None) -> np.ndarray:
-    """A flag for each start of a string: whether the string repeats."""
-    size = max(0, len(phrases.data) - phrases.length + 1)
-    repeated = np.zeros(size, dtype=bool)
-    for n in np.flatnonzero(np.isin(phrases.triggers.view(np.int64), settled)):
-        repeated[phrases.first[n] : phrases.last[n] + 1] = True
-    if found:
-        masks = {}
-        for item in found:
-            masks.setdefault(item["phrase"], []).append((item["block"], item["mask"]))
-        ids = phrases.ids.view(np.int64)
-        for n in np.flatnonzero(np.isin(ids, list(masks))):
-            for block, mask in masks[ids[n]]:
-                starts = phrases.places[n] - block * BLOCK - np.flatnonzero(mask >> np.arange(BLOCK) & 1)
-                repeated[starts[(starts >= phrases.first[n]) & (starts <= phrases.last[n])]] = True
-    return repeated
-
-
-def _covered(repeated: np.ndarray, size: int, length: int) -> np.ndarray:
+def _covered(phrases: Phrases, settled: np.ndarray, found: dict[str, np.ndarray]) -> np.ndarray:
     """A flag for each byte: whether a repeated string covers it."""
+    size = len(phrases.data)
     steps = np.zeros(size + 1, dtype=np.int32)
-    starts = np.flatnonzero(repeated)
-    np.add.at(steps, starts, 1)
-    np.add.at(steps, starts + length, -1)
+    all_repeat = np.isin(phrases.triggers.view(np.int64), settled)
+    steps[phrases.first[all_repeat]] += 1
+    steps[phrases.last[all_repeat] + phrases.length] -= 1
+    if len(found["phrase"]):
+        # Every occurrence of a phrase with each of its blocks.
+        order = np.argsort(found["phrase"], kind="stable")
+        known, ids = found["phrase"][order], phrases.ids.view(np.int64)
+        low = np.searchsorted(known, ids, side="left")
+        counts = np.searchsorted(known, ids, side="right") - low
+        at = np.repeat(np.arange(len(ids)), counts)
+        item = order[np.arange(len(at)) + np.repeat(low - (np.cumsum(counts) - counts), counts)]
+        bits = np.arange(BLOCK)
+        starts = (phrases.places[at] - found["block"][item] * BLOCK)[:, None] - bits
+        repeated = (found["mask"][item][:, None] >> bits & 1) == 1
+        repeated &= (starts >= phrases.first[at][:, None]) & (starts <= phrases.last[at][:, None])
+        starts = np.unique(starts[repeated])
+        steps[starts] += 1
+        steps[starts + phrases.length] -= 1
     return np.cumsum(steps[:-1]) > 0
 
 
+def _struct_lists(column: pa.Array, names: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
+    """The fields of a column of lists of structs of longs, as arrays; empty ones for null."""
+    empty = {name: np.zeros(0, dtype=np.int64) for name in names}
+    values = column.flatten()
+    fields = {name: values.field(name).to_numpy(zero_copy_only=False) for name in names} if len(values) else empty
+    start = 0
+    for size in pa.compute.list_value_length(column).fill_null(0).to_pylist():
+        yield {name: field[start : start + size] for name, field in fields.items()}
+        start += size
+
+
 def _finished(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for data, settled, found in zip(
-            _unpacked(batch), _lists(batch.column("settled")), batch.column("found").to_pylist(), strict=True
-        ):
+        all_found = _struct_lists(batch.column("found"), ("phrase", "block", "mask"))
+        for data, settled, found in zip(_unpacked(batch), _lists(batch.column("settled")), all_found, strict=True):
             kept, spans = data, []
-            if len(settled) or found:
-                covered = _covered(_repeated_starts(Phrases(data, length), settled, found), len(data), length)
+            if len(settled) or len(found["phrase"]):
+                covered = _covered(Phrases(data, length), settled, found)
                 kept = data[~covered]
                 edges = np.flatnonzero(np.diff(covered.astype(np.int8), prepend=0, append=0))
                 spans = [{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()]
@@ -268,6 +279,8 @@ def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     texts of copies of at least `length` bytes go altogether. doc_id may be null or repeated: what holds for a string
     holds wherever it is, so rows that share a doc_id can't take one another's strings.
     """
+    if length < 2 * BLOCK:
+        raise ValueError(f"length must be at least {2 * BLOCK}")
     text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
     others = [F.col(name) for name in docs.columns if name != "text"]
     docs = docs.select(F.struct(*others).alias("doc"), F.coalesce(doc_id, F.xxhash64(text)).alias("key"), text.alias("text"))
