@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from planloom.llm.minhash import distinct_documents
-from planloom.llm.mixing import mixed_documents
+from planloom.llm.mixing import mixed_documents, placed_documents
 from planloom.llm.packing import packed
 from planloom.llm.rules import kept_documents
 from planloom.llm.storage import saved
 from planloom.llm.suffix import cleaned_documents
 
+# How sources are mixed, for the stage that orders documents and for the one that fills batches in that order.
+MIX = {"weights": None, "power": 0.5}
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the learned decision list."""
@@ -29,12 +33,16 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of a mix of their sources, weighted by the square root of their bytes."""
-    return mixed_documents(docs, power=0.5)
+    return mixed_documents(docs, **MIX)
 
 
 def length_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in batches of 65,536 padded tokens from 16 length buckets."""
-    return packed(docs, buckets=16, budget=65536)
+    """All documents in batches of 65,536 padded tokens from 16 length buckets, each filled in the order of the mix.
+
+    Rows of files have no order, so places are worked out again from the same documents and weights.
+    """
+    placed = placed_documents(docs, **MIX).select("doc.doc_id", "doc.text", "place")
+    return packed(placed, buckets=16, budget=65536, order=F.col("place"))
 
 
 STAGES = [

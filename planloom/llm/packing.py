@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planloom.llm.running import running_sums
+from planloom.llm.running import running_sums, sums_over_pieces
 from planloom.llm.storage import saved
 
 # Lengths up to this are bins of their own; larger ones are rounded up to this many bits' precision.
@@ -63,7 +63,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), F.lit(0))
 
 
-def packed(docs: DataFrame, length: Column | None = None, buckets: int = 16, budget: int = 65536) -> DataFrame:
+def packed(
+    docs: DataFrame, length: Column | None = None, buckets: int = 16, budget: int = 65536, order: Column | None = None
+) -> DataFrame:
     """doc_id, n_tokens, bucket, bucket_length, batch, place, batch_rows, padding, over_budget for each row of `docs`.
 
     `docs` has doc_id and text; other columns are ignored unless `length`, a column of `docs` with the tokens of each document, uses them; by
@@ -72,27 +74,37 @@ def packed(docs: DataFrame, length: Column | None = None, buckets: int = 16, bud
     and over_budget set. Null lengths and texts count as 0 tokens; they share the bucket of bound 0 or that of the shortest texts.
     Repeated rows are packed one by one; null doc_ids are as any other. Nothing is cut or left out.
 
+    Batches of a bucket are filled in the order of `order`, a column of `docs`, and of a hash of doc_id and text where that
+    is equal or not given.
+
     The histogram, bounded as in length_bin whatever the number of documents, is all that the driver sees.
     """
     text = F.col("text").cast("string")
     tokens = word_count(text) if length is None else F.coalesce(length.cast("long"), F.lit(0))
-    rows = saved(
-        docs.select(
-            F.col("doc_id").cast("long"),
-            tokens.alias("n_tokens"),
-            F.xxhash64(F.col("doc_id").cast("long"), text).alias("row_hash"),
-        ),
-        "packing-rows",
-    )
+    columns = [
+        F.col("doc_id").cast("long"),
+        tokens.alias("n_tokens"),
+        F.xxhash64(F.col("doc_id").cast("long"), text).alias("row_hash"),
+    ]
+    if order is None:
+        rows = saved(docs.select(*columns), "packing-rows")
+    else:
+        # Dealt in order and written, so that the number of a partition is that of a piece of the order.
+        dealt = docs.select(*columns, order.alias("order")).repartitionByRange("order", "row_hash")
+        rows = saved(dealt.withColumn("piece", F.spark_partition_id()), "packing-rows")
     histogram = rows.groupBy(length_bin(F.col("n_tokens")).alias("bin")).count().toPandas().sort_values("bin")
     bounds = optimal_bounds(histogram["bin"].to_numpy(), histogram["count"].to_numpy(), buckets) or [0]
     number, bound = F.lit(len(bounds) - 1), F.lit(bounds[-1])
     for place in reversed(range(len(bounds) - 1)):
         inside = F.col("n_tokens") <= bounds[place]
         number, bound = F.when(inside, place).otherwise(number), F.when(inside, bounds[place]).otherwise(bound)
-    bucketed = rows.select("doc_id", "n_tokens", "row_hash", number.alias("bucket"), F.lit(1).alias("one"))
+    bucketed = rows.withColumns({"bucket": number, "one": F.lit(1)})
+    if order is None:
+        summed = running_sums(bucketed, "bucket", "row_hash", "one")
+    else:
+        summed = sums_over_pieces(bucketed, ["bucket"], "piece", ["order", "row_hash", "doc_id", "n_tokens"], "one")
     capacity = F.greatest(F.floor(F.lit(budget) / F.greatest(bound.cast("long"), F.lit(1))), F.lit(1))
-    return running_sums(bucketed, "bucket", "row_hash", "one").select(
+    return summed.select(
         "doc_id",
         "n_tokens",
         "bucket",

@@ -24,12 +24,20 @@ def running_sums(rows: DataFrame, group: str, order: str, weight: str) -> DataFr
     # The hash as a share of its range, from the lowest negative number on.
     share = F.shiftrightunsigned(F.col(order).bitwiseXOR(F.lit(-(1 << 63))), 11) / F.lit(float(1 << 53))
     cut = named.join(pieces, "_group").withColumn("_piece", F.floor(share * F.col("_pieces"))).drop("_pieces")
-    earlier = Window.partitionBy("_group").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    sums = cut.groupBy("_group", "_piece").agg(F.sum(weight).alias("_sum"))
-    sums = sums.select("_group", "_piece", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("_group", "_piece").orderBy(order, *rest).rowsBetween(Window.unboundedPreceding, -1)
+    return sums_over_pieces(cut, ["_group"], "_piece", [order, *rest], weight).drop("_group", "_piece")
+
+
+def sums_over_pieces(rows: DataFrame, groups: list[str], piece: str, order: list[str], weight: str) -> DataFrame:
+    """`rows` with the column `before`, as running_sums has it: groups are cut along their order into numbered pieces.
+
+    Within a piece rows are in the order of the columns `order`. `rows` is read twice. Groups and pieces aren't null.
+    """
+    earlier = Window.partitionBy(*groups).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*groups, piece).agg(F.sum(weight).alias("_sum"))
+    sums = sums.select(*groups, piece, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
+    within = Window.partitionBy(*groups, piece).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        cut.join(sums, ["_group", "_piece"])
+        rows.join(sums, [*groups, piece])
         .withColumn("before", F.col("_base") + F.coalesce(F.sum(weight).over(within), F.lit(0)))
-        .drop("_group", "_piece", "_base")
+        .drop("_base")
     )

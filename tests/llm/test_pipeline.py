@@ -60,3 +60,17 @@ def test_run_gives_the_last_stage(spark, odd_folder):
 
 def test_empty_tables(spark, empty_folder):
     assert rows_of(corpus_pipeline.run(spark, empty_folder)) == []
+
+
+def test_weights_of_the_mix_change_the_batches(spark, monkeypatch):
+    rows = [(n, "ab"[n % 2], f"{n:04d} " + "w " * 40_000) for n in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    first = {}
+    for heavy, light in ("ab", "ba"):
+        monkeypatch.setitem(corpus_pipeline.MIX, "weights", {heavy: 9, light: 1})
+        packed = rows_of(corpus_pipeline.length_packing(spark, docs, ""))
+        assert sorted(r["doc_id"] for r in packed) == list(range(200))
+        assert sorted(r["batch"] for r in packed) == list(range(200))
+        first[heavy] = [rows[r["doc_id"]][1] for r in sorted(packed, key=lambda r: r["batch"])[:60]]
+        assert first[heavy].count(heavy) >= 50
+    assert first["a"] != first["b"]
