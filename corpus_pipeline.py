@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from planloom.llm.minhash import distinct_documents
 from planloom.llm.mixing import mixed_documents, placed_documents
 from planloom.llm.packing import packed
+from planloom.llm.queries import tokenizer_file
 from planloom.llm.rules import kept_documents
 from planloom.llm.storage import saved
 from planloom.llm.suffix import cleaned_documents
+from planloom.llm.tokens import counted
 
 # How sources are mixed, for the stage that orders documents and for the one that fills batches in that order.
 MIX = {"weights": None, "power": 0.5}
@@ -42,7 +44,8 @@ def length_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Rows of files have no order, so places are worked out again from the same documents and weights.
     """
     placed = placed_documents(docs, **MIX).select("doc.doc_id", "doc.text", "place")
-    return packed(placed, buckets=16, budget=65536, order=F.col("place"))
+    docs = counted(placed, tokenizer_file("byte_bpe_50k.json"), "doc_id", "text", "place")
+    return packed(docs, F.col("n_tokens"), buckets=16, budget=65536, order=F.col("place"))
 
 
 STAGES = [

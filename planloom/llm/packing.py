@@ -86,12 +86,10 @@ def packed(
         tokens.alias("n_tokens"),
         F.xxhash64(F.col("doc_id").cast("long"), text).alias("row_hash"),
     ]
-    if order is None:
-        rows = saved(docs.select(*columns), "packing-rows")
-    else:
+    rows = saved(docs.select(*columns, *([] if order is None else [order.alias("order")])), "packing-rows")
+    if order is not None:
         # Dealt in order and written, so that the number of a partition is that of a piece of the order.
-        dealt = docs.select(*columns, order.alias("order")).repartitionByRange("order", "row_hash")
-        rows = saved(dealt.withColumn("piece", F.spark_partition_id()), "packing-rows")
+        rows = saved(rows.repartitionByRange("order", "row_hash").withColumn("piece", F.spark_partition_id()), "packing-order")
     histogram = rows.groupBy(length_bin(F.col("n_tokens")).alias("bin")).count().toPandas().sort_values("bin")
     bounds = optimal_bounds(histogram["bin"].to_numpy(), histogram["count"].to_numpy(), buckets) or [0]
     number, bound = F.lit(len(bounds) - 1), F.lit(bounds[-1])

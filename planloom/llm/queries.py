@@ -13,7 +13,7 @@ from planloom.llm.packing import packed
 from planloom.llm.quality import quality_scores
 from planloom.llm.rules import judged
 from planloom.llm.suffix import without_repeats
-from planloom.llm.tokens import token_counts
+from planloom.llm.tokens import counted, token_counts
 from planloom.llm.warc import derivatives, responses
 
 
@@ -55,7 +55,8 @@ def op5_pfair_mixing(spark: SparkSession, table_dir: str) -> DataFrame:
 
 def op7_length_bucket_packing(spark: SparkSession, table_dir: str) -> DataFrame:
     """All documents in batches of 65,536 padded tokens from 16 length buckets."""
-    return packed(_table(spark, table_dir, "documents"), buckets=16, budget=65536)
+    docs = counted(_table(spark, table_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), "doc_id", "text")
+    return packed(docs, F.col("n_tokens"), buckets=16, budget=65536)
 
 
 # Characters of a streamed piece of an assistant's answer.

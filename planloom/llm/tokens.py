@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 # Characters of a chunk and, at first, of its overlap with the one before.
 CHUNK = 16384
@@ -128,16 +129,22 @@ class TokenCounter:
 _counters: dict[str, TokenCounter] = {}
 
 
-def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], path: str, names: list[str]) -> Iterator[pa.RecordBatch]:
     if path not in _counters:
         _counters[path] = TokenCounter(path)
     counter = _counters[path]
     for batch in batches:
-        texts = batch.column("text")
-        counts = [counter.count(text.as_py() or "") for text in texts]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"]
-        )
+        counts = [counter.count(text.as_py() or "") for text in batch.column("text")]
+        columns = [batch.column(name) for name in names]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], [*names, "n_tokens"])
+
+
+def counted(docs: DataFrame, tokenizer_path: str, *keep: str) -> DataFrame:
+    """The columns of `docs` named in `keep`, and n_tokens, the tokens of its column text. A null text has none."""
+    names = list(keep)
+    rows = docs.select(*{name: None for name in [*names, "text"]}).withColumn("text", F.col("text").cast("string"))
+    kinds = StructType([rows.schema[name] for name in names] + [StructField("n_tokens", LongType())])
+    return rows.mapInArrow(lambda batches: _count(batches, tokenizer_path, names), kinds)
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> DataFrame:
@@ -150,5 +157,4 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> Dat
     rows = docs.select(
         F.col("doc_id").cast("long"), text.alias("text"), F.coalesce(F.octet_length(text).cast("long"), F.lit(0)).alias("n_bytes")
     )
-    counted = rows.mapInArrow(lambda batches: _count(batches, tokenizer_path), "doc_id long, n_bytes long, n_tokens long")
-    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+    return counted(rows, tokenizer_path, "doc_id", "n_bytes").withColumn("over_limit", F.col("n_tokens") > limit)

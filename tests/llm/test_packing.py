@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from corpus_tables import rows_of
+from corpus_tables import folder, rows_of
 from pyspark.sql import functions as F
 
 from planloom.llm.packing import length_bin, optimal_bounds, packed
@@ -60,6 +60,16 @@ def test_query_on_odd_rows(spark, odd_folder, odd_rows):
     check(rows, 65536)
 
 
+def test_texts_without_spaces_are_packed_by_tokens(spark, tmp_path):
+    rows = [(n, "漢字仮名" * 2000 + str(n), "en", "s", 8000) for n in range(3)] + [(9, "漢字" * 50_000, "en", "s", 100_000)]
+    place = folder(tmp_path, [*rows, (10, "two words", "en", "s", 9)])
+    found = rows_of(QUERIES["op7_length_bucket_packing"](spark, place))
+    counts = {r["doc_id"]: r["n_tokens"] for r in rows_of(QUERIES["op3_token_counts"](spark, place))}
+    assert {r["doc_id"]: r["n_tokens"] for r in found} == counts and counts[0] > 8000 and counts[9] > 65536
+    assert [r["doc_id"] for r in found if r["over_budget"]] == [9]
+    check(found, 65536)
+
+
 def test_small_budgets(spark, odd_folder):
     docs = spark.read.parquet(f"{odd_folder}/documents.parquet")
     check(rows_of(packed(docs, buckets=4, budget=300)), 300)
