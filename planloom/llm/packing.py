@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from planloom.llm.running import running_sums, sums_over_pieces
 from planloom.llm.storage import saved
 
-# Lengths up to this are bins of their own; larger ones are rounded up to this many bits' precision.
+# Lengths up to this are bins of their own; larger ones share bins of this many bits' precision.
 EXACT_BITS = 9
 
 
@@ -27,17 +27,17 @@ def length_bin(length: Column) -> Column:
     return F.when(length <= 1 << EXACT_BITS, length).otherwise(F.ceil(length / unit) * unit).cast("long")
 
 
-def optimal_bounds(bins: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
+def optimal_bounds(bins: np.ndarray, counts: np.ndarray, buckets: int, sums: np.ndarray | None = None) -> list[int]:
     """The upper bounds, a subset of the ascending `bins`, of at most `buckets` buckets with the least padding in all.
 
-    Padding of a bucket is the sum of its bound less the bin over its documents. Of equally good
-    choices the one with fewer buckets is taken.
+    Padding of a bucket is the sum of its bound less the length over its documents: `sums` has the sum of the lengths of each bin, by
+    default those of documents as long as the bin. Of equally good choices the one with fewer buckets is taken.
     """
     size = len(bins)
     if size == 0:
         return []
     count = np.concatenate([[0], np.cumsum(counts)]).astype(np.float64)
-    total = np.concatenate([[0], np.cumsum(bins * counts)]).astype(np.float64)
+    total = np.concatenate([[0], np.cumsum(bins * counts if sums is None else sums)]).astype(np.float64)
     # best[j]: least padding of the first j bins; starts[k][j]: where the last of k + 1 buckets begins.
     best = np.full(size + 1, np.inf)
     best[0] = 0.0
@@ -90,8 +90,11 @@ def packed(
     if order is not None:
         # Dealt in order and written, so that the number of a partition is that of a piece of the order.
         rows = saved(rows.repartitionByRange("order", "row_hash").withColumn("piece", F.spark_partition_id()), "packing-order")
-    histogram = rows.groupBy(length_bin(F.col("n_tokens")).alias("bin")).count().toPandas().sort_values("bin")
-    bounds = optimal_bounds(histogram["bin"].to_numpy(), histogram["count"].to_numpy(), buckets) or [0]
+    bins = rows.groupBy(length_bin(F.col("n_tokens")).alias("bin"))
+    histogram = bins.agg(F.count("*").alias("count"), F.max("n_tokens").alias("longest"), F.sum("n_tokens").alias("sum"))
+    found = histogram.toPandas().sort_values("bin")
+    # A bin ends at its longest document.
+    bounds = optimal_bounds(*(found[name].to_numpy() for name in ("longest", "count")), buckets, found["sum"].to_numpy()) or [0]
     number, bound = F.lit(len(bounds) - 1), F.lit(bounds[-1])
     for place in reversed(range(len(bounds) - 1)):
         inside = F.col("n_tokens") <= bounds[place]

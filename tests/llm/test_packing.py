@@ -70,6 +70,13 @@ def test_texts_without_spaces_are_packed_by_tokens(spark, tmp_path):
     check(found, 65536)
 
 
+def test_bounds_are_lengths_of_documents(spark):
+    docs = spark.range(60).selectExpr("id as doc_id", "'' as text", "if(id % 3 = 0, 9001, 5000) as size")
+    found = rows_of(packed(docs, F.col("size"), buckets=2))
+    assert {(r["n_tokens"], r["bucket_length"], r["padding"]) for r in found} == {(5000, 5000, 0), (9001, 9001, 0)}
+    check(found, 65536)
+
+
 def test_small_budgets(spark, odd_folder):
     docs = spark.read.parquet(f"{odd_folder}/documents.parquet")
     check(rows_of(packed(docs, buckets=4, budget=300)), 300)
