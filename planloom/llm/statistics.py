@@ -142,12 +142,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, size: int) -
     """Statistics and 0/1 labels of at most `size` documents: those whose ids hash lowest, none of them held out.
 
     Rows with null or other labels are ignored; a document labelled twice counts by its lowest label. The ids, at most `size`, are broadcast.
+    Of several rows with the same id the one whose text hashes lowest counts, so `size` bounds what the driver gets.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("labelled"), F.col(label).cast("int").alias("label"))
     known = known.where("labelled is not null and label in (0, 1)").where(~held_out("labelled"))
     chosen = known.groupBy("labelled").agg(F.min("label").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("labelled"), "labelled").limit(size)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))
-    table = described(rows, "label").toArrow()
+    texts = rows.withColumn("text_hash", F.xxhash64(F.col("text").cast("string")))
+    one = F.min(F.struct("text_hash", *NAMES)).alias("one")
+    sample = described(texts, "labelled", "label", "text_hash").groupBy("labelled", "label").agg(one)
+    table = sample.select("labelled", "label", "one.*").toArrow().sort_by("labelled")
     features = np.column_stack([table.column(name).to_numpy() for name in NAMES]) if table.num_rows else np.zeros((0, len(NAMES)))
     return features, np.asarray(table.column("label").to_pylist(), dtype=np.int64)

@@ -11,7 +11,7 @@ from corpus_tables import folder, held_out, rows_of
 
 from planloom.llm import quality, rules
 from planloom.llm.queries import QUERIES
-from planloom.llm.statistics import NAMES, statistics
+from planloom.llm.statistics import NAMES, labelled_sample, statistics
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -139,6 +139,16 @@ def test_held_out_labels_change_nothing(spark, tmp_path, odd_rows):
     assert results[0] == results[1]
 
 
+def test_sample_has_one_row_for_each_document(spark):
+    ids = [n for n in range(30) if not held_out(n)]
+    texts = [(n, f"text of {n}") for n in ids] + [(ids[0], "again " * (n % 7)) for n in range(500)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(n, n % 2) for n in range(30)], "doc_id long, quality int")
+    features, quality = labelled_sample(docs, labels, "quality", 30)
+    assert features.shape == (len(ids), len(NAMES)) and quality.tolist() == [n % 2 for n in ids]
+    assert len(labelled_sample(docs, labels, "quality", 5)[1]) == 5
+
+
 def test_empty_tables_and_no_labels(spark, empty_folder, tmp_path, odd_rows):
     for query in ("op2_quality_classifier", "op4_quality_rules"):
         assert rows_of(QUERIES[query](spark, empty_folder)) == []
