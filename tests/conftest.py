@@ -8,8 +8,6 @@ from pyspark.sql import SparkSession
 ROOT = Path(__file__).resolve().parent.parent
 sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
-TEST_DATA = Path("/root/testdata")
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):

@@ -3,10 +3,9 @@
 import re
 
 import pytest
-from oracle import assert_same, oracle_connection, rows
+from oracle import TEST_DATA, assert_same, oracle_connection, rows
 
 import __spark_entry__ as contract
-from conftest import TEST_DATA
 from planloom.operators import CATALOGUE
 
 SCALE = str(TEST_DATA / "sf0.01")

@@ -5,8 +5,8 @@ import io
 import re
 
 import pytest
+from oracle import TEST_DATA
 
-from conftest import TEST_DATA
 from planloom import Plan, open_plan
 from planloom.operators import CATALOGUE, Query
 
