@@ -78,3 +78,12 @@ def held_out(doc_id: int | None) -> bool:
 
 def rows_of(frame) -> list[dict]:
     return frame.toArrow().to_pylist()
+
+
+def library_counts(texts):
+    """Tokens of each text as the tokenizer's own library counts them."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    return [len(model.encode(text or "", add_special_tokens=False).ids) for text in texts]

@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from corpus_tables import folder, rows_of
+from corpus_tables import folder, library_counts, rows_of
 from pyspark.sql import functions as F
 
 from planloom.llm.packing import length_bin, optimal_bounds, packed
@@ -52,9 +52,9 @@ def check(rows, budget):
 
 def test_query_on_odd_rows(spark, odd_folder, odd_rows):
     rows = rows_of(QUERIES["op7_length_bucket_packing"](spark, odd_folder))
-    split = lambda text: len((text or "").encode().split())
+    counts = library_counts(row[1] for row in odd_rows)
     assert sorted(((r["doc_id"], r["n_tokens"]) for r in rows), key=repr) == sorted(
-        ((row[0], split(row[1])) for row in odd_rows), key=repr
+        ((row[0], count) for row, count in zip(odd_rows, counts, strict=True)), key=repr
     )
     assert len({r["bucket"] for r in rows}) == 16
     check(rows, 65536)
