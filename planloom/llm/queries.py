@@ -10,6 +10,7 @@ from planloom.llm.embeddings import linked_vectors
 from planloom.llm.minhash import near_duplicates
 from planloom.llm.mixing import mix
 from planloom.llm.packing import packed
+from planloom.llm.phrases import collocations
 from planloom.llm.quality import quality_scores
 from planloom.llm.rules import judged
 from planloom.llm.suffix import without_repeats
@@ -148,6 +149,11 @@ def op10_suffix_dedup(spark: SparkSession, table_dir: str) -> DataFrame:
     )
 
 
+def op11_phrase_collocations(spark: SparkSession, table_dir: str) -> DataFrame:
+    """The first 2,000 collocations of each language over all documents."""
+    return collocations(_table(spark, table_dir, "documents"), least=30, longest=4, covered=80, factor=2_000_000, top=2000)
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -159,6 +165,7 @@ QUERIES = {
     "op8_warc_derivatives": op8_warc_derivatives,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_phrase_collocations": op11_phrase_collocations,
 }
 
 OP1_SQL = r"""
@@ -248,9 +255,57 @@ OP10_SQL = """
     from texts t left join kept k on k.doc_id = t.doc_id left join spans s on s.doc_id = t.doc_id
 """
 
+OP11_SQL = r"""
+    with pieces as (
+        select row_number() over () as piece, lang, regexp_extract_all(p, '[^\x20\x09]+') as w
+        from (
+            select coalesce(lang, 'und') as lang, unnest(string_split_regex(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[.,;:!?\x0A-\x0D]')) as p
+            from documents
+        )
+    ),
+    totals as (select lang, sum(len(w))::bigint as n from pieces group by lang),
+    places as (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from pieces, (select unnest([1, 2, 3, 4]) as k)),
+    f as (
+        select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase, count(*) as a
+        from places group by all having count(*) >= 30
+    ),
+    candidates as (select *, string_split(phrase, ' ') as w from f where k > 1),
+    cuts as (
+        select lang, phrase, k, a, cut, array_to_string(w[1 : cut], ' ') as first, array_to_string(w[cut + 1 :], ' ') as rest
+        from (select *, unnest(range(1, k)) as cut from candidates)
+    ),
+    scored as (
+        select c.lang, c.phrase, c.k, c.a, cut, x.a as l, y.a as r,
+               ((2000000::hugeint * c.a::hugeint) // (x.a::hugeint + y.a::hugeint))::bigint as score
+        from cuts c
+        join f x on x.lang = c.lang and x.phrase = first and x.k = cut
+        join f y on y.lang = c.lang and y.phrase = rest and y.k = c.k - cut
+    ),
+    best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+    inner_phrases as (
+        select lang, a, array_to_string(w[i : i + size - 1], ' ') as phrase
+        from (
+            select lang, k, a, w, size, unnest(range(1, k - size + 2)) as i
+            from (select *, unnest(range(2, k)) as size from candidates where k > 2)
+        )
+    ),
+    longer as (select lang, phrase, max(a) as most from inner_phrases group by lang, phrase),
+    kept as (
+        select b.* from best b left join longer o on o.lang = b.lang and o.phrase = b.phrase
+        where o.most is null or 100 * o.most < 80 * b.a
+    ),
+    ranked as (
+        select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from kept
+    )
+    select lang, rank, phrase, a, l, r, n, score from ranked join totals using (lang) where rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
     "op1_minhash_near_dedup": OP1_SQL,
     "op6_chat_formatting": OP6_SQL,
     "op9_embedding_near_dedup": OP9_SQL,
     "op10_suffix_dedup": OP10_SQL,
+    "op11_phrase_collocations": OP11_SQL,
 }
