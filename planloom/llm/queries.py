@@ -16,6 +16,7 @@ from planloom.llm.rules import judged
 from planloom.llm.suffix import without_repeats
 from planloom.llm.tokens import counted, token_counts
 from planloom.llm.warc import derivatives, responses
+from planloom.llm.whitening import whitened_vectors
 
 
 def _table(spark: SparkSession, table_dir: str, name: str) -> DataFrame:
@@ -154,6 +155,11 @@ def op11_phrase_collocations(spark: SparkSession, table_dir: str) -> DataFrame:
     return collocations(_table(spark, table_dir, "documents"), least=30, longest=4, covered=80, factor=2_000_000, top=2000)
 
 
+def op12_embedding_whitening(spark: SparkSession, table_dir: str) -> DataFrame:
+    """All vectors projected on the four main components of the distinct ones, with unit variance."""
+    return whitened_vectors(_table(spark, table_dir, "embeddings"), components=4, scale=256)
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -166,6 +172,7 @@ QUERIES = {
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_embedding_whitening": op12_embedding_whitening,
 }
 
 OP1_SQL = r"""
