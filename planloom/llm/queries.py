@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from planloom.llm.chat import loss_texts, messages, read_back, rendered
 from planloom.llm.embeddings import linked_vectors
+from planloom.llm.fingerprints import edited_fingerprints
 from planloom.llm.minhash import near_duplicates
 from planloom.llm.mixing import mix
 from planloom.llm.packing import packed
@@ -160,6 +161,11 @@ def op12_embedding_whitening(spark: SparkSession, table_dir: str) -> DataFrame:
     return whitened_vectors(_table(spark, table_dir, "embeddings"), components=4, scale=256)
 
 
+def op13_document_fingerprints(spark: SparkSession, table_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, with the likeness of both and to the next document."""
+    return edited_fingerprints(_table(spark, table_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -173,6 +179,7 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_phrase_collocations": op11_phrase_collocations,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_document_fingerprints": op13_document_fingerprints,
 }
 
 OP1_SQL = r"""
