@@ -1,13 +1,16 @@
 """Token counts against the libraries, on whole texts and in chunks."""
 
 import random
+from pathlib import Path
 
+import numpy as np
 import public_tokenizers
 import pytest
 from corpus_tables import rows_of
 from tokenizers import Tokenizer
 
 from planloom.llm.queries import QUERIES
+from planloom.llm import tokens
 from planloom.llm.tokens import TokenCounter, token_counts
 
 PATH = str(public_tokenizers.path("byte_bpe_50k.json"))
@@ -34,8 +37,12 @@ def odd_texts():
         yield text
 
 
+def counter_of(**settings):
+    return TokenCounter(PATH, Path(PATH).read_bytes(), **settings)
+
+
 def test_every_way_of_counting_agrees(library):
-    counter = TokenCounter(PATH, chunk=64, overlap=4, huge=80)
+    counter = counter_of(chunk=64, overlap=4, huge=80)
     for text in odd_texts():
         assert counter.count(text) == library(text)
         text = text.replace("<|endoftext|>", "")
@@ -43,8 +50,56 @@ def test_every_way_of_counting_agrees(library):
     assert counter.widened > 0
 
 
+MARKS = [
+    *PARTS, "abc", "Éa", "naïve", "×", "÷", "ÿ", " ", " ", "\n", "\n\n", "\n \n", "\r", ",", ".", "(", "\"", "'t", "can't", "''", "'", "1a", "a1",
+    "«", "…", "“", "ª", "\u0301", "\u00a0", "\u0085", "\u200b", "\u3000", "한", "カナ", "ß", "\U0001d7d8", "_", "~", "\x7f", "\xad",
+]
+
+
+def test_spans_begin_where_pieces_do(library):
+    """Many texts at once, of marks, letters and white space in all orders; counts also come out of a table that is emptied again and again."""
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(MARKS) for _ in range(rng.randrange(0, 40))) for _ in range(4000)]
+    counter = counter_of()
+    wanted = [library(text) for text in texts]
+    assert counter.counts([text.encode() for text in texts]).tolist() == wanted
+    assert counter.counts([text.encode() for text in texts]).tolist() == wanted
+
+
+def test_known_spans_are_bounded(library, monkeypatch):
+    monkeypatch.setattr(tokens, "KNOWN_SPANS", 50)
+    monkeypatch.setattr(tokens, "TOGETHER", 2000)
+    monkeypatch.setattr(tokens, "KNOWN_BYTES", 12)
+    counter, rng = counter_of(), random.Random(8)
+    for _ in range(30):
+        texts = [" ".join(f"w{rng.randrange(300)}" + "é" * rng.randrange(9) for _ in range(60)) for _ in range(10)]
+        assert counter.counts([text.encode() for text in texts]).tolist() == [library(text) for text in texts]
+        assert len(counter.known) == len(counter.known_counts) <= 50
+        assert np.all(np.diff(counter.known.astype(np.float64)) >= 0)
+
+
+def test_texts_without_spaces_leave_nothing_behind(library):
+    counter = counter_of()
+    texts = ["漢字仮名" * 2000 + str(n) for n in range(6)] + ["QUJD" * 3000]
+    assert counter.counts([text.encode() for text in texts]).tolist() == [library(text) for text in texts]
+    assert len(counter.known) < 20
+
+
+def test_huge_texts_with_special_strings_are_cut_there(library):
+    counter = counter_of(chunk=100, overlap=10, huge=150)
+    text = "<|endoftext|>" + "some words, and more.\n" * 50 + " <|endoftext|><|endoftext|> x" + "y z " * 100
+    assert counter.count(text) == library(text) and counter.count("<|endoftext|>") == 1
+
+
+def test_whole_table_against_the_library(library):
+    import pyarrow.parquet as pq
+
+    texts = [text or "" for text in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()]
+    assert counter_of().counts([text.encode() for text in texts]).tolist() == [library(text) for text in texts]
+
+
 def test_one_endless_word(library):
-    counter = TokenCounter(PATH, chunk=100, overlap=10, huge=150)
+    counter = counter_of(chunk=100, overlap=10, huge=150)
     text = "xyz" * 700
     assert counter.count(text) == library(text)
 
