@@ -2,11 +2,13 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from corpus_tables import rows_of
 
+from planloom.llm import suffix
 from planloom.llm.queries import QUERIES
 from planloom.llm.suffix import Phrases, cleaned_documents, without_repeats
 
@@ -62,6 +64,56 @@ def test_edited_copies(spark, length, seed):
         assert (got["n_removed"], [[s["start"], s["end"]] for s in got["spans"]], got["kept_bytes"]) == (removed, spans, kept)
 
 
+@pytest.mark.parametrize("heavy", [0, 1500])
+def test_heavy_triggers(spark, monkeypatch, heavy):
+    """The same result when phrases are compared by blocks, and when both ways are taken."""
+    monkeypatch.setattr(suffix, "HEAVY", heavy)
+    test_edited_copies(spark, 40, 5)
+
+
+def test_one_doc_id_on_a_third_of_the_rows(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(40)]
+    texts += [texts[n][:250] + f"{n:060d}" for n in range(20)]
+    rows = [(7 if n % 3 == 0 else n, text, n) for n, text in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int")
+    found = {r["doc"]["a.b"]: r for r in rows_of(without_repeats(frame))}
+    assert len(found) == len(rows)
+    for n, (removed, _, kept) in enumerate(expected([t.encode() for t in texts], 200)):
+        assert (found[n]["n_removed"], found[n]["kept_bytes"]) == (removed, kept)
+    assert cleaned_documents(frame).columns == frame.columns
+
+
+@pytest.mark.parametrize("length", [16, 17, 24, 40, 200])
+def test_sorted_suffixes(length):
+    rng = random.Random(length)
+    for _ in range(60):
+        base, data, size = bytes(rng.choices(b"abcd", k=300)), b"", rng.randrange(1, 1200)
+        while len(data) < size:
+            place = rng.randrange(300)
+            data += base[place : place + rng.randrange(1, 290)] if rng.random() < 0.7 else bytes(rng.choices(b"abc", k=1)) * rng.randrange(1, 50)
+        inside = np.zeros(len(data), dtype=bool)
+        counted = max(0, len(data) - length + 1)
+        inside[:counted] = np.random.default_rng(size).random(counted) < 0.7
+        counts = Counter(data[n : n + length] for n in np.flatnonzero(inside))
+        wanted = [bool(inside[n]) and counts[data[n : n + length]] > 1 for n in range(len(data))]
+        assert suffix.repeated_starts(np.frombuffer(data, np.uint8), inside, length).tolist() == wanted
+
+
+def test_texts_together_as_each_alone():
+    rng = random.Random(6)
+    for length in (16, 40, 200):
+        texts = [np.frombuffer(bytes(rng.choices(b"abcd", k=rng.choice([0, 1, 39, 199, 200, 201, 900]))), np.uint8) for _ in range(40)]
+        sizes = np.array([len(text) for text in texts])
+        together, begin = Phrases(np.concatenate(texts), length, sizes), 0
+        for number, text in enumerate(texts):
+            alone, own = Phrases(text, length), together.text == number
+            for name in ("first", "last", "places"):
+                assert (getattr(together, name)[own] - begin == getattr(alone, name)).all()
+            assert (together.triggers[own] == alone.triggers).all() and (together.ids[own] == alone.ids).all()
+            begin += len(text)
+
+
 def test_phrases_hold_every_string_once():
     data = np.frombuffer(random.Random(1).randbytes(5000), np.uint8)
     phrases = Phrases(data, 200)
