@@ -6,24 +6,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Rows of a piece, on average.
-PIECE_ROWS = 2000
+PIECE_ROWS = 20_000
 
 
 def running_sums(rows: DataFrame, group: str, order: str, weight: str) -> DataFrame:
     """`rows` with the column `before`: the sum of `weight` over the rows of the same group that come earlier.
 
     Within a group rows are in the order of the 64-bit hash in column `order`, so in one that looks random; ties in the order
-    of their other columns' values, and rows alike in all of them in any order. Each group is cut along its order into
-    as many pieces as its rows need at PIECE_ROWS each; sums of pieces carry over to later ones. `rows` is read three times, so it
+    of their other columns' values, and rows alike in all of them in any order. All groups are cut at the same hashes, into as many pieces as
+    all rows need at PIECE_ROWS each, so that a row's own values tell its piece: rows are only shuffled by group and piece,
+    and sums of pieces carry over to later ones. `rows` is read three times, so it
     should be a written table. Null groups are a group. `group`, `order` and `weight` name columns.
     """
     rest = [name for name in rows.columns if name not in (group, order)]
-    # Nulls are joined as values.
-    named = rows.withColumn("_group", F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("")))
-    pieces = named.groupBy("_group").agg(F.ceil(F.count("*") / PIECE_ROWS).alias("_pieces"))
+    pieces = rows.count() // PIECE_ROWS + 1
     # The hash as a share of its range, from the lowest negative number on.
     share = F.shiftrightunsigned(F.col(order).bitwiseXOR(F.lit(-(1 << 63))), 11) / F.lit(float(1 << 53))
-    cut = named.join(pieces, "_group").withColumn("_piece", F.floor(share * F.col("_pieces"))).drop("_pieces")
+    # Nulls are joined as values.
+    cut = rows.withColumns({
+        "_group": F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("")),
+        "_piece": F.floor(share * pieces),
+    })
     return sums_over_pieces(cut, ["_group"], "_piece", [order, *rest], weight).drop("_group", "_piece")
 
 
