@@ -13,51 +13,63 @@ from pyspark.sql import functions as F
 from planloom.llm.running import running_sums, sums_over_pieces
 from planloom.llm.storage import saved
 
-# Lengths up to this are bins of their own; larger ones share bins of this many bits' precision.
-EXACT_BITS = 9
 
+def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
+    """The upper bounds, a subset of the ascending `lengths`, of at most `buckets` buckets with the least padding in all.
 
-def length_bin(length: Column) -> Column:
-    """The upper bound of a length's bin: the length up to 2**EXACT_BITS, then at most 2**-(EXACT_BITS - 1) above it.
-
-    Bins number at most 2**EXACT_BITS + 2**(EXACT_BITS - 1) for each further doubling: 6,144 below 2**31.
-    """
-    extra = F.greatest(F.length(F.bin(length - 1)) - EXACT_BITS, F.lit(0))
-    unit = F.pow(F.lit(2.0), extra).cast("long")
-    return F.when(length <= 1 << EXACT_BITS, length).otherwise(F.ceil(length / unit) * unit).cast("long")
-
-
-def optimal_bounds(bins: np.ndarray, counts: np.ndarray, buckets: int, sums: np.ndarray | None = None) -> list[int]:
-    """The upper bounds, a subset of the ascending `bins`, of at most `buckets` buckets with the least padding in all.
-
-    Padding of a bucket is the sum of its bound less the length over its documents: `sums` has the sum of the lengths of each bin, by
-    default those of documents as long as the bin. Of equally good choices the one with fewer buckets is taken.
+    Padding of a bucket is the sum of its bound less the length over its documents, of which there are counts[i] with
+    lengths[i]. Of equally good choices the one with fewer buckets is taken. All numbers are whole, so the result is exact.
     """
-    size = len(bins)
+    size = len(lengths)
     if size == 0:
         return []
-    count = np.concatenate([[0], np.cumsum(counts)]).astype(np.float64)
-    total = np.concatenate([[0], np.cumsum(bins * counts if sums is None else sums)]).astype(np.float64)
-    # best[j]: least padding of the first j bins; starts[k][j]: where the last of k + 1 buckets begins.
-    best = np.full(size + 1, np.inf)
-    best[0] = 0.0
-    starts, reached = [], []
-    for _ in range(min(buckets, size)):
-        following, start = np.full(size + 1, np.inf), np.zeros(size + 1, dtype=np.int64)
-        for j in range(1, size + 1):
-            cost = best[:j] + bins[j - 1] * (count[j] - count[:j]) - (total[j] - total[:j])
-            start[j] = np.argmin(cost)
-            following[j] = cost[start[j]]
-        best = following
+    lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
+    count = np.append(0, np.cumsum(counts))
+    total = np.append(0, np.cumsum(lengths * counts))
+    # best[j]: least padding of the first j lengths; starts[k][j]: where the last of k + 1 buckets begins.
+    best = lengths[np.maximum(np.arange(size + 1) - 1, 0)] * count - total
+    starts, reached = [np.zeros(size + 1, dtype=np.int64)], [best[size]]
+    for _ in range(min(buckets, size) - 1):
+        best, start = _one_bucket_more(best, lengths, count, total)
         starts.append(start)
         reached.append(best[size])
     end, bounds = size, []
     for start in reversed(starts[: int(np.argmin(reached)) + 1]):
-        bounds.append(int(bins[end - 1]))
-        end = start[end]
+        if end:
+            bounds.append(int(lengths[end - 1]))
+            end = start[end]
     return bounds[::-1]
 
 
+def _one_bucket_more(best: np.ndarray, lengths: np.ndarray, count: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each j the least padding of the first j lengths when one more bucket ends there, and where it begins.
+
+    The best beginning never moves back as j grows, so once it is known for the middle one of some j, those on either side only need to look on
+    their side of it. All middles of a round are worked out at once: a round looks at each beginning about once, and there are log(j) rounds.
+    """
+    size = len(lengths)
+    padding, begin = best.copy(), np.zeros(size + 1, dtype=np.int64)
+    # Ranges of j, first and last, and of beginnings.
+    first, last, low, high = (np.array([x]) for x in (1, size, 0, size - 1))
+    while len(first):
+        middle = (first + last) // 2
+        width = np.minimum(high, middle - 1) - low + 1
+        offset = np.append(0, np.cumsum(width))[:-1]
+        end = np.repeat(middle, width)
+        i = np.arange(width.sum()) + np.repeat(low - offset, width)
+        cost = best[i] + lengths[end - 1] * (count[end] - count[i]) - (total[end] - total[i])
+        least = np.minimum.reduceat(cost, offset)
+        hits = np.flatnonzero(cost == np.repeat(least, width))
+        chosen = i[hits[np.searchsorted(hits, offset)]]
+        padding[middle], begin[middle] = least, chosen
+        first, last, low, high = (
+            np.concatenate(pair) for pair in ((first, middle + 1), (middle - 1, last), (low, chosen), (chosen, high))
+        )
+        there = first <= last
+        first, last, low, high = first[there], last[there], low[there], high[there]
+    return padding, begin
+
+
 def word_count(text: Column) -> Column:
     """Words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), F.lit(0))
@@ -77,7 +89,7 @@ def packed(
     Batches of a bucket are filled in the order of `order`, a column of `docs`, and of a hash of doc_id and text where that
     is equal or not given.
 
-    The histogram, bounded as in length_bin whatever the number of documents, is all that the driver sees.
+    The histogram of all lengths is all that the driver sees: a corpus of t tokens has at most sqrt(2 * t) different lengths.
     """
     text = F.col("text").cast("string")
     tokens = word_count(text) if length is None else F.coalesce(length.cast("long"), F.lit(0))
@@ -90,11 +102,8 @@ def packed(
     if order is not None:
         # Dealt in order and written, so that the number of a partition is that of a piece of the order.
         rows = saved(rows.repartitionByRange("order", "row_hash").withColumn("piece", F.spark_partition_id()), "packing-order")
-    bins = rows.groupBy(length_bin(F.col("n_tokens")).alias("bin"))
-    histogram = bins.agg(F.count("*").alias("count"), F.max("n_tokens").alias("longest"), F.sum("n_tokens").alias("sum"))
-    found = histogram.toPandas().sort_values("bin")
-    # A bin ends at its longest document.
-    bounds = optimal_bounds(*(found[name].to_numpy() for name in ("longest", "count")), buckets, found["sum"].to_numpy()) or [0]
+    found = rows.groupBy("n_tokens").count().toPandas().sort_values("n_tokens")
+    bounds = optimal_bounds(found["n_tokens"].to_numpy(), found["count"].to_numpy(), buckets) or [0]
     number, bound = F.lit(len(bounds) - 1), F.lit(bounds[-1])
     for place in reversed(range(len(bounds) - 1)):
         inside = F.col("n_tokens") <= bounds[place]

@@ -8,7 +8,7 @@ import pytest
 from corpus_tables import folder, library_counts, rows_of
 from pyspark.sql import functions as F
 
-from planloom.llm.packing import length_bin, optimal_bounds, packed
+from planloom.llm.packing import optimal_bounds, packed
 from planloom.llm.queries import QUERIES
 from planloom.llm.running import running_sums
 
@@ -29,11 +29,18 @@ def test_bounds_are_optimal(seed):
         assert padding(bins, counts, bounds) == min(padding(bins, counts, [*c, bins[-1]]) for c in choices)
 
 
-def test_bins_round_up_by_little(spark):
-    lengths = [0, 1, 511, 512, 513, 514, 1023, 1024, 1025, 4097, 10**6 + 1, 2**31 - 1, 2**40 + 1]
-    rows = spark.createDataFrame([(n,) for n in lengths], "n long").select("n", length_bin(F.col("n")).alias("b")).collect()
-    for row in rows:
-        assert row.b == row.n if row.n <= 512 else row.n <= row.b <= row.n * (1 + 1 / 256)
+def test_bounds_of_many_lengths_equal_the_plain_recurrence():
+    rng = np.random.default_rng(3)
+    for size, buckets in ((1, 3), (2, 2), (60, 5), (300, 16), (301, 1), (40, 60)):
+        lengths = np.sort(rng.choice(100_000, size, replace=False))
+        counts = rng.integers(1, 1000, size) ** rng.integers(1, 3, size)
+        count, total = np.append(0, np.cumsum(counts)), np.append(0, np.cumsum(lengths * counts))
+        best = np.append(0, np.full(size, 1 << 60))
+        for _ in range(min(buckets, size)):
+            costs = [best[:j] + lengths[j - 1] * (count[j] - count[:j]) - (total[j] - total[:j]) for j in range(1, size + 1)]
+            best = np.minimum(best, np.append(0, [cost.min() for cost in costs]))
+        bounds = optimal_bounds(lengths, counts, buckets)
+        assert padding(lengths.tolist(), counts.tolist(), bounds) == best[size] and len(bounds) <= buckets
 
 
 def check(rows, budget):
