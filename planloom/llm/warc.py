@@ -12,6 +12,7 @@ import html
 import re
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -22,34 +23,103 @@ from pyspark.sql import functions as F
 VERSION = "WARC/1.1"
 END = "\r\n\r\n"
 
-UNSEEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.I | re.S
+# Elements whose content isn't shown, and those that begin a line.
+HIDDEN = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript", "template", "svg", "iframe")}
+BLOCKS = frozenset(
+    "address article aside blockquote body br dd div dl dt figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol"
+    " option p pre section table tbody td tfoot th thead title tr ul".split()
 )
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.I | re.S)
-LANGUAGE = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([\w-]+)", re.I)
-LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-BREAK = re.compile(
-    r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol"
-    r"|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>",
-    re.I,
-)
-TAG = re.compile(r"</?[a-z][^>]*>", re.I)
+NAME = re.compile(r"/?([a-z][a-z0-9]*)(?![\w-])", re.I)
+TITLE_END = re.compile(r"</title", re.I)
+LANG = re.compile(r"\blang\s*=\s*[\"']?([\w-]+)", re.I)
+HREF = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+SPACE = re.compile(r"\s+")
 CONTROL = re.compile(r"[\x00-\x1f\x7f]+")
 
 
+@dataclass
+class Page:
+    """What a page shows and says: its text, a line for each block, its title, language and link targets as written."""
+
+    text: str
+    title: str | None
+    language: str | None
+    targets: list[str]
+
+
+def read_page(page: str) -> Page:
+    """One pass over a page's tags, whose time grows with its length however malformed it is.
+
+    A tag is `<`, a letter or `/` and a letter, and all up to the next `>`; without one there are no more tags. Comments and hidden elements that
+    never end go to the end of the page. The title is that of the first element of this name, the language that of the first that tells it.
+    """
+    shown, targets, title, language = [], [], None, None
+    place, size, titled = 0, len(page), False
+    while place < size:
+        start = page.find("<", place)
+        if start < 0:
+            break
+        shown.append(page[place:start])
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            shown.append(" ")
+            place = size if end < 0 else end + 3
+            continue
+        following = page[start + 1 : start + 3]
+        letter = following[-1:] if following.startswith("/") else following[:1]
+        if following[:1] not in ("!", "?") and not (letter.isascii() and letter.isalpha()):
+            shown.append("<")
+            place = start + 1
+            continue
+        end = page.find(">", start)
+        if end < 0:
+            # No more tags; only a comment can hide what is left.
+            comment = page.find("<!--", start)
+            shown.append(page[start:] if comment < 0 else page[start:comment])
+            place = size
+            break
+        place = end + 1
+        if following[:1] in ("!", "?"):
+            shown.append(" ")
+            continue
+        named = NAME.match(page, start + 1, end)
+        name, opens = named[1].lower() if named else "", following[0] != "/"
+        if opens and name in HIDDEN:
+            close = HIDDEN[name].search(page, place)
+            place = close.end() if close else size
+            shown.append(" ")
+            continue
+        if name in BLOCKS:
+            shown.append("\0")
+        if opens and name == "a" and (found := HREF.search(page, named.end(), end)):
+            targets.append(found[1] or found[2] or found[3] or "")
+        elif opens and name == "html" and language is None and (found := LANG.search(page, named.end(), end)):
+            language = found[1]
+        elif opens and name == "title" and not titled:
+            # If this one has no end, later ones have none.
+            titled, close = True, TITLE_END.search(page, place)
+            title = page[place : close.start()] if close else None
+    shown.append(page[place:])
+    # White space of the source is one space, only blocks break lines. The mark for these is no character of a page.
+    text = "".join(part if part == "\0" else SPACE.sub(" ", part.replace("\0", " ")) for part in shown)
+    lines = (" ".join(line.split()) for line in html.unescape(text.replace("\0", "\n")).split("\n"))
+    return Page("\n".join(line for line in lines if line), title, language, targets)
+
+
 def page_text(page: str) -> str:
     """The visible text of an HTML page: a line for each block, white space collapsed, entities resolved."""
-    source = " ".join(UNSEEN.sub(" ", page).split())
-    text = html.unescape(TAG.sub("", BREAK.sub("\n", source)))
-    lines = (" ".join(line.split()) for line in text.split("\n"))
-    return "\n".join(line for line in lines if line)
+    return read_page(page).text
 
 
 def page_links(page: str, base: str) -> list[str]:
     """Targets of the page's links in order, each once, resolved against its address."""
+    return _resolved(read_page(page).targets, base)
+
+
+def _resolved(targets: list[str], base: str) -> list[str]:
     found: dict[str, None] = {}
-    for match in LINK.finditer(UNSEEN.sub(" ", page)):
-        target = _field(html.unescape(match[1] or match[2] or match[3] or ""))
+    for target in targets:
+        target = _field(html.unescape(target))
         try:
             target = urljoin(base, target)
         except ValueError:
@@ -117,17 +187,17 @@ def _records(page_id, record_id, target_uri, date, http_headers, payload) -> lis
     target, date, page = _field(target_uri or ""), _field(date or ""), payload or ""
     record_id, source = _field(record_id or ""), digest(page.encode())
     conversion_id, metadata_id = _record_id("conversion", record_id, source), _record_id("metadata", record_id, source)
-    title, language = TITLE.search(page), LANGUAGE.search(page)
+    read = read_page(page)
     fields = []
-    if title:
-        fields.append(("title", page_text(title[1]).replace("\n", " ")))
-    if language:
-        fields.append(("language", language[1]))
+    if read.title is not None:
+        fields.append(("title", page_text(read.title).replace("\n", " ")))
+    if read.language is not None:
+        fields.append(("language", read.language))
     fields.append(("source-payload-digest", source))
     fields += [("source-http-header", _field(line)) for line in (http_headers or "").split("\r\n") if line.strip()]
-    fields += [("outlink", link) for link in page_links(page, target)]
+    fields += [("outlink", link) for link in _resolved(read.targets, target)]
     blocks = (
-        ("conversion", conversion_id, metadata_id, "text/plain; charset=utf-8", page_text(page)),
+        ("conversion", conversion_id, metadata_id, "text/plain; charset=utf-8", read.text),
         ("metadata", metadata_id, conversion_id, "application/warc-fields",
          "".join(f"{name}: {_field(value)}\r\n" for name, value in fields)),
     )
@@ -158,6 +228,9 @@ def derivatives(archive: DataFrame) -> DataFrame:
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """Writes `records` as gzipped WARC files, one for each partition, wherever Spark can write."""
+    """Writes `records` as gzipped WARC files, one for each partition, wherever Spark can write.
+
+    Each file is one gzip stream, to be read from its beginning: there is no random access to records.
+    """
     record = F.concat("headers", F.lit(END), "block")
     records.select(record.alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)

@@ -4,6 +4,9 @@ import base64
 import gzip
 import hashlib
 import re
+import time
+from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -11,7 +14,7 @@ import pytest
 from corpus_tables import rows_of
 
 from planloom.llm.queries import QUERIES
-from planloom.llm.warc import derivatives, page_links, page_text, responses, write_warc
+from planloom.llm.warc import BLOCKS, HIDDEN, derivatives, page_links, page_text, read_page, responses, write_warc
 
 PAGE = (
     '<!DOCTYPE html><html lang="en-GB"><head><title>A &amp; B</title><style>p{}</style><script>var t="</p>";</script></head>'
@@ -30,6 +33,82 @@ def test_visible_text_and_links():
     assert page_text("1 < 2 and 3 > 2") == "1 < 2 and 3 > 2"
 
 
+class Plain(HTMLParser):
+    """Text and links by the standard library's parser."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.parts, self.targets, self.hidden = [], [], []
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if self.hidden or tag in HIDDEN:
+            self.hidden += [tag] if not self.hidden or tag == self.hidden[0] else []
+            return
+        self.parts.append("\n" if tag in BLOCKS else "")
+        if tag == "a" and dict(attrs).get("href") is not None:
+            self.targets.append(dict(attrs)["href"])
+
+    def handle_startendtag(self, tag, attrs):
+        if tag not in HIDDEN:
+            self.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag):
+        if self.hidden:
+            if tag == self.hidden[0]:
+                self.hidden.pop()
+                self.parts += [] if self.hidden else [" "]
+            return
+        self.parts.append("\n" if tag in BLOCKS else "")
+
+    def handle_comment(self, data):
+        self.parts.append(" ")
+
+    handle_decl = handle_pi = unknown_decl = handle_comment
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.parts.append(re.sub(r"\s+", " ", data))
+
+    def text(self):
+        lines = (" ".join(line.split()) for line in "".join(self.parts).split("\n"))
+        return "\n".join(line for line in lines if line)
+
+    def links(self, base):
+        return list(dict.fromkeys(urljoin(base, re.sub(r"[\x00-\x1f\x7f]+", " ", t).strip()) for t in self.targets))
+
+
+def test_given_pages_against_the_standard_parser():
+    table = pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()
+    assert len(table) > 200
+    for row in [*table, {"url": "http://h.example/a/", "html": PAGE}]:
+        plain = Plain(row["html"])
+        assert page_text(row["html"]) == plain.text()
+        assert page_links(row["html"], row["url"]) == [link for link in plain.links(row["url"]) if link]
+
+
+KINDS = [
+    "<a ", "<title>", "<html ", "<title", "<", "</", "<!--", "<!", "<?", "<script>", "<script", "</script ", "<svg></svg", "<a href='", '<a href="',
+    "<p>", "<a href=x ", "&", "&#", "<a href=b>", "<html lang", "<title></titl", "<!-- -->", "<p", "href=", "<a\n", "\0",
+]
+
+
+@pytest.mark.parametrize("end", ["", ">"])
+@pytest.mark.parametrize("part", KINDS)
+def test_malformed_pages_take_linear_time(part, end):
+    began = time.perf_counter()
+    read_page(part * (300_000 // len(part)) + end)
+    assert time.perf_counter() - began < 3
+
+
+@pytest.mark.parametrize("part", KINDS[:10])
+def test_five_megabytes_of_one_opening(part):
+    began = time.perf_counter()
+    read_page(part * (5_000_000 // len(part)))
+    assert time.perf_counter() - began < 20
+
+
 @pytest.fixture(scope="module")
 def pages(tmp_path_factory):
     rows = [
@@ -62,7 +141,7 @@ def test_records_of_odd_pages(spark, pages):
         assert lines[0] == "WARC/1.1" and all(re.fullmatch(r"[\w-]+: [^\r\n]+", line) for line in lines[1:])
         assert f"WARC-Refers-To: {row['refers_to']}" in lines
         if row["warc_type"] == "conversion":
-            assert row["block"] == page_text(response["payload"])
+            assert row["block"] == Plain(response["payload"]).text()
         else:
             assert f"source-payload-digest: {row['source_digest']}\r\n" in row["block"]
             assert "source-http-header: Content-Type: text/html; charset=utf-8\r\n" in row["block"]
