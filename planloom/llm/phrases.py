@@ -33,14 +33,14 @@ RANKS = 1 << 17
 TILE = 512
 TILES = RANKS // TILE
 # A tile with this many pairs in a buffer gets an array of counters, as long as a task has fewer than MOST_ARRAYS.
-DENSE = 1 << 15
-MOST_ARRAYS = 48
+DENSE = 1 << 14
+MOST_ARRAYS = 32
 # Pairs that are gathered before they are counted, and counted coordinates that a task keeps.
-BUFFER = 1 << 21
+BUFFER = 1 << 20
 # Bits of the map of frequent hashes.
 MAP_BITS = 26
 # Bytes of text worked on at a time.
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 # Pieces of a language for the first round of its top list.
 PIECES = 64
 
