@@ -124,12 +124,13 @@ def _counted(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 
 
 def _placed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """(key, trigger) of each phrase."""
+    """(key, trigger) of the distinct triggers of each text."""
     for batch in batches:
         keys = batch.column("key").to_numpy(zero_copy_only=False)
         for start, data, sizes in _together(byte_rows(batch.column("text"))):
             phrases = Phrases(data, length, sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[start + phrases.text]), _signed(phrases.triggers)], ["key", "trigger"])
+            at = np.unique(_of_text(phrases.text, phrases.triggers), return_index=True)[1]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[start + phrases.text[at]]), _signed(phrases.triggers[at])], ["key", "trigger"])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -440,6 +441,8 @@ def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
         .where("total > 1")
         .select("trigger", F.expr("phrases > 1 and least = 1").alias("open"))
     )
+    # Written, so that the join below reads plain shuffles, whose heavy keys adaptive execution splits.
+    triggers = saved(triggers, "suffix-triggers")
     places = docs.select("key", "text").mapInArrow(lambda x: _placed(x, length), "key long, trigger long")
     marks = saved(
         places.join(triggers, "trigger")
