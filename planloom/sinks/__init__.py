@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from planloom.plans.model import PlanError, Storage
+from planloom.sinks.staged import write_staged
 from planloom.sources import AccessToken, connection_properties, locations
-from planloom.sources.jdbc import CONNECTIONS
+from planloom.sources.jdbc import CONNECTIONS, option
 
 __all__ = ["write_storage"]
 
@@ -34,9 +35,16 @@ def _write_parquet(frame: DataFrame, storage: Storage, _: AccessToken) -> None:
 
 
 def _write_jdbc(frame: DataFrame, storage: Storage, access_token: AccessToken) -> None:
-    # numPartitions caps the number of concurrent connections, batchsize the rows per round trip.
-    properties = {"numPartitions": str(CONNECTIONS)} | connection_properties(storage.options, access_token)
-    frame.write.jdbc(storage.uri, storage.table, mode=storage.mode or "overwrite", properties=properties)
+    # numPartitions is the number of concurrent connections, batchsize the rows per round trip. The frame is dealt anew to that many
+    # tasks: Spark's writer would squeeze the whole stage that makes the rows into them.
+    options = {key: value for key, value in storage.options.items() if key.lower() != "staged"}
+    connections = int(option(options, "numPartitions") or CONNECTIONS)
+    properties = connection_properties(options, access_token)
+    if str(option(storage.options, "staged")).lower() == "false":
+        frame = frame.repartition(connections)
+        frame.write.jdbc(storage.uri, storage.table, mode=storage.mode or "overwrite", properties=properties)
+    else:
+        write_staged(frame, storage, properties, connections)
 
 
 _WRITERS = {"csv": _write_csv, "parquet": _write_parquet, "jdbc": _write_jdbc}

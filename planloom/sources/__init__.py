@@ -7,7 +7,7 @@ import logging
 from pyspark.sql import DataFrame, SparkSession
 
 from planloom.plans.model import PlanError, Storage
-from planloom.sources.jdbc import AccessToken, connection_properties, option, range_options, without_range
+from planloom.sources.jdbc import AccessToken, connection_properties, equal_parts, option, range_options, without_range
 from planloom.sources.lake import lake_settings, locations
 
 __all__ = ["AccessToken", "connection_properties", "lake_settings", "locations", "read_storage"]
@@ -35,16 +35,18 @@ def _read_jdbc(session: SparkSession, storage: Storage, access_token: AccessToke
     options = {key: value for key, value in storage.options.items() if key.lower() != "predicates"}
     predicates = option(storage.options, "predicates")
     properties = connection_properties(options, access_token)
-    if predicates:
-        return session.read.jdbc(storage.uri, storage.table, predicates=list(predicates), properties=properties)
-    if option(options, "partitionColumn") is None:
+    if not predicates and option(options, "partitionColumn") is None:
         log.warning("one task will read all of %s: set partitionColumn or predicates", storage)
-        extra = {}
-    else:
-        extra = range_options(session, storage, properties)
-    if extra is None:
-        properties, extra = without_range(properties), {}
-    return session.read.jdbc(storage.uri, storage.table, properties=properties | extra)
+        return session.read.jdbc(storage.uri, storage.table, properties=properties)
+    if not predicates:
+        given = range_options(options)
+        if given is not None:
+            return session.read.jdbc(storage.uri, storage.table, properties=properties | given)
+        predicates = equal_parts(session, storage, properties)
+    properties = without_range(properties)
+    if not predicates:
+        return session.read.jdbc(storage.uri, storage.table, properties=properties)
+    return session.read.jdbc(storage.uri, storage.table, predicates=list(predicates), properties=properties)
 
 
 _READERS = {"csv": _read_csv, "parquet": _read_parquet, "jdbc": _read_jdbc}

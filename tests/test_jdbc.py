@@ -1,0 +1,144 @@
+"""Tables of a database: writes that survive replayed and failed tasks, and reads in parts of equal depth."""
+
+import datetime
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from planloom.plans import PlanError
+from planloom.plans.model import Storage
+from planloom.sinks import staged, write_storage
+from planloom.sources import read_storage
+
+
+def storage(database, table="t", mode=None, **options):
+    uri, base = database
+    return Storage("jdbc", table=table, uri=uri, options={**base, **options}, mode=mode)
+
+
+def rows(spark, place):
+    return sorted(map(tuple, read_storage(spark, place).collect()), key=repr)
+
+
+def tables(spark, database):
+    uri, options = database
+    listed = spark.read.jdbc(uri, "(select tablename from sys.systables where tabletype = 'T') t", properties=options)
+    return {row[0] for row in listed.collect()}
+
+
+def test_a_partition_written_twice_arrives_once(spark, database):
+    uri, options = database
+    frame = spark.range(100).withColumn("name", F.concat(F.lit("n"), "id")).repartition(5)
+    write_storage(frame.limit(3), storage(database))
+    marks = staged._marks(frame.columns)
+    staged.stage_rows(frame, uri, "stage", options, marks)
+    # The same tasks again, as after a loss: same partitions, other attempts.
+    staged.stage_rows(frame.where("id % 2 = 0"), uri, "stage", options, marks, mode="append")
+    assert spark.read.jdbc(uri, "stage", properties=options).count() == 150
+    staged.move_rows(spark, uri, "stage", "t", frame.columns, marks, options, clear=True)
+    assert rows(spark, storage(database)) == sorted([(n, f"n{n}") for n in range(100)], key=repr)
+
+
+def test_a_failing_write_leaves_the_old_table_whole(spark, database):
+    write_storage(spark.range(10), storage(database))
+    broken = spark.range(1000).select(F.expr("if(id = 997, raise_error('no'), id)").cast("long").alias("id"))
+    for mode in ("overwrite", "append"):
+        with pytest.raises(Exception, match="no"):
+            write_storage(broken, storage(database, mode=mode))
+        assert rows(spark, storage(database)) == [(n,) for n in range(10)]
+    assert tables(spark, database) == {"T"}
+
+
+def test_a_failing_move_changes_nothing(spark, database):
+    uri, options = database
+    write_storage(spark.range(10), storage(database))
+    staged._execute(spark, uri, options, ['alter table t add constraint small check ("id" < 50)'])
+    with pytest.raises(Exception, match="(?i)constraint"):
+        write_storage(spark.range(100), storage(database))
+    assert rows(spark, storage(database)) == [(n,) for n in range(10)] and tables(spark, database) == {"T"}
+    # The table's definition outlives being overwritten.
+    write_storage(spark.range(20, 30), storage(database))
+    assert rows(spark, storage(database)) == [(n,) for n in range(20, 30)]
+    with pytest.raises(Exception, match="(?i)constraint"):
+        write_storage(spark.range(60, 61), storage(database, mode="append"))
+
+
+def test_modes(spark, database):
+    write_storage(spark.range(3), storage(database, mode="append"))
+    write_storage(spark.range(3), storage(database, mode="append"))
+    write_storage(spark.range(9), storage(database, mode="ignore"))
+    assert rows(spark, storage(database)) == [(0,), (0,), (1,), (1,), (2,), (2,)]
+    with pytest.raises(PlanError, match="exists"):
+        write_storage(spark.range(9), storage(database, mode="errorifexists"))
+    write_storage(spark.range(0), storage(database, table="empty", mode="error"))
+    assert rows(spark, storage(database, table="empty")) == []
+    assert tables(spark, database) == {"T", "EMPTY"}
+
+
+def test_columns_of_any_name_and_type(spark, database):
+    frame = spark.sql("""
+        select 1L as written_by_part, 'x' as `a b`, decimal('1.50') as s, date '2024-01-02' as m, true as p, cast(null as double) as a
+        union all select 2, null, null, null, null, 0.5
+    """)
+    write_storage(frame, storage(database))
+    found = rows(spark, storage(database))
+    assert [row[0] for row in found] == [1, 2] and found[0][1] == "x" and found[1][5] == 0.5
+    write_storage(frame.select("s"), storage(database, staged=False))
+    assert read_storage(spark, storage(database)).columns == ["s"]
+
+
+def test_the_stage_that_makes_the_rows_keeps_its_tasks(spark, database):
+    """Rows come from 40 tasks, and 16 write: the work before isn't squeezed into them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        seen.add(1)
+        yield from batches
+
+    frame = spark.range(0, 4000, 1, 40).mapInArrow(counted, "id long")
+    write_storage(frame, storage(database))
+    assert seen.value == 40 and read_storage(spark, storage(database)).count() == 4000
+
+
+def parts_of(frame):
+    return [n for n in frame.select(F.spark_partition_id().alias("p")).groupBy("p").count().toPandas()["count"]]
+
+
+def test_skewed_keys_are_read_in_equal_parts(spark, database):
+    """Nine tenths of the keys lie in a hundredth of the range; nulls are a part of their own."""
+    rng = random.Random(1)
+    keys = [500_000 + rng.randrange(10_000) for _ in range(9000)] + [rng.randrange(1_000_000) for _ in range(1000)]
+    frame = spark.createDataFrame([(key,) for key in keys] + [(None,)] * 50, "k long")
+    write_storage(frame, storage(database))
+    read = read_storage(spark, storage(database, partitionColumn="k"))
+    assert read.rdd.getNumPartitions() <= 17
+    found = parts_of(read)
+    assert sum(found) == 10_050 and max(found) <= 2 * 10_000 / 16
+    assert sorted(r[0] for r in read.where("k is not null").collect()) == sorted(keys)
+    assert len(parts_of(read_storage(spark, storage(database, partitionColumn="k", numPartitions=4)))) == 5
+
+
+@pytest.mark.parametrize(
+    ("kind", "value"),
+    [
+        ("timestamp", lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(microseconds=1000 * n**3)),
+        ("date", lambda n: datetime.date(1990, 1, 1) + datetime.timedelta(days=n * n // 50)),
+        ("double", lambda n: 1.5**n if n < 200 else n / 7),
+        ("decimal(12, 3)", lambda n: __import__("decimal").Decimal(n * n).scaleb(-3)),
+        ("int", lambda n: n % 3),
+    ],
+)
+def test_parts_hold_each_row_once(spark, database, kind, value):
+    values = [value(n) for n in range(800)]
+    write_storage(spark.createDataFrame([(v,) for v in values], f"v {kind}"), storage(database))
+    read = read_storage(spark, storage(database, partitionColumn="v", numPartitions=8))
+    assert sorted(r[0] for r in read.collect()) == sorted(values)
+    if kind != "int":
+        assert max(parts_of(read)) <= 2 * 800 / 8
+
+
+@pytest.mark.parametrize("values", [[], [None], [5], [5, 5, None]])
+def test_columns_without_two_values(spark, database, values):
+    write_storage(spark.createDataFrame([(v,) for v in values], "v long"), storage(database))
+    assert read_storage(spark, storage(database, partitionColumn="v")).count() == len(values)
