@@ -40,7 +40,9 @@ BUFFER = 1 << 20
 # Bits of the map of frequent hashes.
 MAP_BITS = 26
 # Bytes of text worked on at a time.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
+# Rows of a record batch that a task sends.
+ROWS = 1 << 15
 # Pieces of a language for the first round of its top list.
 PIECES = 64
 
@@ -118,7 +120,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, int] = {}
         for lang, count in zip(words.langs, np.bincount(words.texts, minlength=len(words.langs)).tolist(), strict=True):
             totals[lang] = totals.get(lang, 0) + count
-        yield pa.RecordBatch.from_arrays(
+        yield from _sliced(
             [
                 pa.array([*langs, *totals], pa.string()),
                 pa.array([*names, *(None for _ in totals)], pa.binary()).cast(pa.string()),
@@ -129,6 +131,12 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _sliced(columns: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBatch]:
+    batch = pa.RecordBatch.from_arrays(columns, names)
+    for start in range(0, len(batch), ROWS):
+        yield batch.slice(start, ROWS)
+
+
 def _longs(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
@@ -196,12 +204,12 @@ class TileCounter:
 
     def _by_hash(self, phrases: np.ndarray, words: np.ndarray) -> Iterator[pa.RecordBatch]:
         _, first, counts = np.unique(joined(phrases, words), return_index=True, return_counts=True)
-        yield _pairs(phrases[first], words[first], counts)
+        yield from _pairs(phrases[first], words[first], counts)
 
     def _kept(self, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         tiles, cells = keys // (TILE * TILE), keys % (TILE * TILE)
         rows, columns = tiles // TILES * TILE + cells // TILE, tiles % TILES * TILE + cells % TILE
-        yield _pairs(self.phrases.by_rank[rows], self.words.by_rank[columns], counts)
+        yield from _pairs(self.phrases.by_rank[rows], self.words.by_rank[columns], counts)
 
     def rest(self) -> Iterator[pa.RecordBatch]:
         yield from self._kept(self.keys, self.counts)
@@ -220,8 +228,8 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts[order], first)
 
 
-def _pairs(phrases: np.ndarray, words: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([_longs(phrases), _longs(words), pa.array(counts, pa.int64())], ["head", "last", "n"])
+def _pairs(phrases: np.ndarray, words: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    return _sliced([_longs(phrases), _longs(words), pa.array(counts, pa.int64())], ["head", "last", "n"])
 
 
 def pairs_of(words: Words, levels: list[Frequent]) -> tuple[np.ndarray, np.ndarray]:
