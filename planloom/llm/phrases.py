@@ -252,11 +252,12 @@ def pairs_of(words: Words, levels: list[Frequent]) -> tuple[np.ndarray, np.ndarr
     return phrases[at], words.hashes[at + size]
 
 
-def _pair_counts(batches: Iterator[pa.RecordBatch], levels: Broadcast) -> Iterator[pa.RecordBatch]:
+def _pair_counts(batches: Iterator[pa.RecordBatch], shared: list[Broadcast]) -> Iterator[pa.RecordBatch]:
     """(head, last, n): phrases of one more word than there are levels."""
-    counter, gathered, size = TileCounter(levels.value[-1], levels.value[0]), [], 0
+    levels = [level.value for level in shared]
+    counter, gathered, size = TileCounter(levels[-1], levels[0]), [], 0
     for words in _chunks(batches):
-        gathered.append(pairs_of(words, levels.value))
+        gathered.append(pairs_of(words, levels))
         size += len(gathered[-1][0])
         if size >= BUFFER:
             yield from counter.add(*map(np.concatenate, zip(*gathered, strict=True)))
@@ -304,11 +305,11 @@ def frequent_phrases(docs: DataFrame, least: int = 30, longest: int = 4) -> tupl
     totals = words.where("word is null").select("lang", F.col("n").alias("total"))
     words = words.where("word is not null")
     level = words.select("id", "lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "n")
-    found, levels = level, []
+    found, shared = level, []
     for size in range(2, longest + 1):
-        levels.append(_frequent(level))
-        shared = docs.sparkSession.sparkContext.broadcast(list(levels))
-        pairs = texts.mapInArrow(lambda batches, shared=shared: _pair_counts(batches, shared), "head long, last long, n long")
+        shared.append(docs.sparkSession.sparkContext.broadcast(_frequent(level)))
+        known = list(shared)
+        pairs = texts.mapInArrow(lambda batches, known=known: _pair_counts(batches, known), "head long, last long, n long")
         pairs = pairs.groupBy("head", "last").agg(F.sum("n").alias("n")).where(f"n >= {least}")
         pairs = pairs.mapInArrow(_with_id, "id long, head long, last long, n long")
         heads = level.select(F.col("id").alias("head"), "lang", F.col("phrase").alias("first"))
@@ -319,6 +320,9 @@ def frequent_phrases(docs: DataFrame, least: int = 30, longest: int = 4) -> tupl
             "phrase-level",
         )
         found = found.union(level)
+    # All levels are written: nothing asks for these again, and workers would keep them.
+    for level in shared:
+        level.destroy()
     return found.drop("id"), totals
 
 

@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -85,7 +86,7 @@ def test_small_tables_change_nothing(spark, monkeypatch):
         frequent = [(n, key[2]) for key, n in counts.items() if n >= 3 and key[1] is not None]
         for size in (2, 3, 4):
             levels.append(frequent_of(frequent, ranks))
-            pairs = count_batches(phrases._pair_counts([batch], type("Shared", (), {"value": levels})), ("head", "last"))
+            pairs = count_batches(phrases._pair_counts([batch], [SimpleNamespace(value=level) for level in levels]), ("head", "last"))
             frequent = []
             for (head, last), n in pairs.items():
                 if n >= 3:
