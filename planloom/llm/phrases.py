@@ -33,10 +33,11 @@ RANKS = 1 << 17
 TILE = 512
 TILES = RANKS // TILE
 # A tile with this many pairs in a buffer gets an array of counters, as long as a task has fewer than MOST_ARRAYS.
-DENSE = 1 << 14
-MOST_ARRAYS = 32
+DENSE = 1 << 13
+MOST_ARRAYS = 16
 # Pairs that are gathered before they are counted, and counted coordinates that a task keeps.
-BUFFER = 1 << 20
+BUFFER = 1 << 18
+KEPT = 1 << 19
 # Bits of the map of frequent hashes.
 MAP_BITS = 26
 # Bytes of text worked on at a time.
@@ -198,7 +199,7 @@ class TileCounter:
             start = end
         keys, counts = np.unique(tiles[~dense] * (TILE * TILE) + cells[~dense], return_counts=True)
         self.keys, self.counts = _summed(np.concatenate([self.keys, keys]), np.concatenate([self.counts, counts]))
-        if len(self.keys) > BUFFER:
+        if len(self.keys) > KEPT:
             yield from self._kept(self.keys, self.counts)
             self.keys, self.counts = self.keys[:0], self.counts[:0]
 

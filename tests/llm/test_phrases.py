@@ -80,7 +80,7 @@ def test_small_tables_change_nothing(spark, monkeypatch):
     texts_ = [(lang or "und", text or "") for lang, text in rows]
     batch = pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*texts_, strict=True)], ["lang", "text"])
     for ranks, dense, buffer in ((8, 1, 10), (8, 5, 1 << 21), (1 << 10, 100, 50), (64, 1 << 30, 1)):
-        for name, value in (("RANKS", ranks), ("TILE", 4), ("TILES", ranks // 4), ("DENSE", dense), ("BUFFER", buffer), ("CHUNK", 64)):
+        for name, value in (("RANKS", ranks), ("TILE", 4), ("TILES", ranks // 4), ("DENSE", dense), ("BUFFER", buffer), ("KEPT", buffer), ("CHUNK", 64)):
             monkeypatch.setattr(phrases, name, value)
         levels, counts = [], count_batches(phrases._word_counts([batch]), ("lang", "word", "id"))
         frequent = [(n, key[2]) for key, n in counts.items() if n >= 3 and key[1] is not None]
