@@ -32,10 +32,10 @@ OVERLAP = 256
 # Texts of more characters are encoded in chunks.
 HUGE = 2 * CHUNK
 # Bytes of smaller texts that are worked on at a time.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 20
 # Spans of up to KNOWN_BYTES are counted once; each Python worker keeps the counts of KNOWN_SPANS, 12 bytes each, at most.
 KNOWN_BYTES = 64
-KNOWN_SPANS = 1 << 22
+KNOWN_SPANS = 1 << 21
 
 
 def _flags(*values: int) -> np.ndarray:
