@@ -43,7 +43,7 @@ GRAM = 32
 # Suffixes of a block.
 BLOCK = 8
 # Bytes of texts, and of dictionary phrases, that are worked on together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
 # Triggers with distinct phrases of more bytes are heavy.
 HEAVY = 1 << 20
 PLACE_MASK = np.uint64(0xFFFFFFFF)
