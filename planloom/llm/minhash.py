@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from planloom.llm.components import components
 from planloom.llm.storage import saved
-from planloom.llm.words import LOWER, byte_rows, mixed, shingles, word_hashes
+from planloom.llm.words import LOWER, byte_rows, mixed, parts, shingles, word_hashes
 
 # Signature positions: a prime, so that the multiples of any step visit every position once.
 POSITIONS = 241
@@ -76,7 +76,7 @@ def _elements(data: np.ndarray, width: int) -> np.ndarray:
 
 
 def _features(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parts(batches):
         sizes, digests, keys = [], [], []
         for data in byte_rows(batch.column("text")):
             elements = _elements(data, width)
@@ -91,7 +91,7 @@ def _features(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parts(batches):
         sets = [_elements(data, width).view(np.int64) for data in byte_rows(batch.column("text"))]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "elements"]

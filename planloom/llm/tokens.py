@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from planloom.llm.words import prefix_hashes, span_hashes
+from planloom.llm.words import parts, prefix_hashes, span_hashes
 
 # Characters of a chunk and, at first, of its overlap with the one before.
 CHUNK = 16384
@@ -248,7 +248,7 @@ def _count(batches: Iterator[pa.RecordBatch], name: str, content: Broadcast, nam
     key = f"{name}:{hashlib.sha256(content.value).hexdigest()}"
     if key not in _counters:
         _counters[key] = TokenCounter(name, content.value)
-    for batch in batches:
+    for batch in parts(batches):
         texts = [text or b"" for text in batch.column("text").cast(pa.binary()).to_pylist()]
         columns = [batch.column(name) for name in names]
         yield pa.RecordBatch.from_arrays([*columns, pa.array(_counters[key].counts(texts), pa.int64())], [*names, "n_tokens"])

@@ -16,6 +16,9 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
+# Rows worked on, and returned, together.
+PART_ROWS = 512
+
 # Random odd constants of the hashes; any others would do.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -85,6 +88,13 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
     return np.unique(mixed(total))
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = PART_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that what is made of them, and sent back, is small as well."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def byte_rows(column: pa.Array) -> Iterator[np.ndarray]:
     """The UTF-8 bytes of each value of a string or binary column; no bytes for null."""
     if isinstance(column, pa.ChunkedArray):
