@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planloom.llm.statistics import COUNTS, NAMES, RATIOS, described, labelled_sample
+from planloom.llm.statistics import COUNTS, NAMES, RATIOS, described, described_documents, labelled_sample
 
 # Labelled documents learned from, at most.
 SAMPLE = 20_000
@@ -155,7 +155,8 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts have no words and fail. Repeated rows and null doc_ids are rows as any other.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    rows = _ruled(docs, labels, "doc_id")
+    rules = quality_rules(docs, labels)
+    rows = described(docs, "doc_id").withColumn("rule", first_rule(rules))
     return rows.select(
         "doc_id",
         *(F.col(name).cast("long").alias(name) for name in COUNTS),
@@ -167,13 +168,8 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that `judged` keeps, with all their columns. No shuffle: rows are judged where they are read."""
-    whole = docs.select(F.struct("*").alias("doc"), F.col("doc_id"), F.col("text"))
-    return _ruled(whole, labels, "doc").where(~_base_failed() & (F.col("rule") == 0)).select("doc.*")
-
-
-def _ruled(docs: DataFrame, labels: DataFrame, *keep: str) -> DataFrame:
     rules = quality_rules(docs, labels)
-    return described(docs, *keep).withColumn("rule", first_rule(rules))
+    return described_documents(docs).withColumn("rule", first_rule(rules)).where(~_base_failed() & (F.col("rule") == 0)).select("doc.*")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> list[Rule]:

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from planloom.llm.words import BASE, SPACE, byte_rows, mixed, prefix_hashes, span_hashes, word_spans
+from planloom.llm.words import BASE, SPACE, byte_rows, mixed, parts, prefix_hashes, span_hashes, word_spans
 
 # Words of the windows in which repetition is looked for.
 WINDOW = 5
@@ -118,9 +119,14 @@ def _repeated_words(hashes: np.ndarray) -> int:
     return int(np.count_nonzero(np.cumsum(steps[:-1])))
 
 
-def _described(batches: Iterator[pa.RecordBatch], kept: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        values = [statistics(data) for data in byte_rows(batch.column("text"))]
+def _text(batch: pa.RecordBatch, within: int | None) -> pa.Array:
+    """The column `text`, or the field of `doc` with that number: null where either is."""
+    return batch.column("text") if within is None else pa.compute.struct_field(batch.column("doc"), [within])
+
+
+def _described(batches: Iterator[pa.RecordBatch], kept: tuple[str, ...], within: int | None = None) -> Iterator[pa.RecordBatch]:
+    for batch in parts(batches):
+        values = [statistics(data) for data in byte_rows(_text(batch, within))]
         table = np.array(values, dtype=np.float64).reshape(len(values), len(NAMES))
         columns = [pa.array(table[:, n]) for n in range(len(NAMES))]
         yield pa.RecordBatch.from_arrays([batch.column(name) for name in kept] + columns, list(kept + NAMES))
@@ -133,6 +139,16 @@ def described(docs: DataFrame, *keep: str) -> DataFrame:
     return rows.mapInArrow(lambda batches: _described(batches, keep), kinds)
 
 
+def described_documents(docs: DataFrame) -> DataFrame:
+    """`doc`, the whole row of `docs`, and the statistics of its `text`. The text travels once, in its row."""
+    if dict(docs.select("text").dtypes)["text"] != "string":
+        return described(docs.select(F.struct("*").alias("doc"), "text"), "doc")
+    within = [name.lower() for name in docs.columns].index("text")
+    rows = docs.select(F.struct("*").alias("doc"))
+    kinds = StructType([rows.schema["doc"]] + [StructField(name, DoubleType()) for name in NAMES])
+    return rows.mapInArrow(lambda batches: _described(batches, ("doc",), within), kinds)
+
+
 def held_out(doc_id: str) -> Column:
     """Rows whose labels are never learned from: crc32 of the id as text leaves 1 when divided by 3."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
