@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from planloom.llm.storage import saved
-from planloom.llm.words import BASE, INVERSE, byte_rows, mixed, powers, prefix_hashes, span_hashes
+from planloom.llm.words import BASE, INVERSE, byte_rows, mixed, parts, powers, prefix_hashes, span_hashes
 
 # The longest trigger, in bytes.
 GRAM = 32
@@ -135,7 +135,7 @@ def _placed(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed for the shuffles: (doc, key, n_bytes, packed)."""
-    for batch in batches:
+    for batch in parts(batches):
         texts = [data.tobytes() for data in byte_rows(batch.column("text"))]
         there = batch.column("text").is_valid().to_pylist()
         packed = [pa.compress(text, codec="zstd", asbytes=True) if text else b"" if known else None
@@ -381,7 +381,8 @@ def _covered(phrases: Phrases, settled: np.ndarray, found: tuple[np.ndarray, ...
     return np.cumsum(steps[:-1]) > 0
 
 
-def _finished(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _finished(batches: Iterator[pa.RecordBatch], length: int, as_text: bool = False) -> Iterator[pa.RecordBatch]:
+    """The columns of FINISHED; with `as_text` doc and text alone, without characters that lost some of their bytes."""
     for batch in batches:
         settled, found = _Lists(batch.column("settled")), _Lists(batch.column("found"), ("phrase", "low", "high", "mask"))
         for start, data, sizes in _together(_unpacked(batch)):
@@ -408,6 +409,11 @@ def _finished(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
             buffers = [None, pa.py_buffer(kept_bounds), pa.py_buffer(data[~covered])]
             kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), count, buffers).cast(pa.binary())
             part = batch.slice(start, count)
+            if as_text:
+                there = zip(kept.to_pylist(), part.column("packed").is_valid().to_pylist(), strict=True)
+                texts = pa.array([data.decode(errors="ignore") if known else None for data, known in there], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("doc"), texts], ["doc", "text"])
+                continue
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc"), part.column("packed").is_null(), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), spans, kept],
                 ["doc", "no_text", "n_bytes", "n_removed", "spans", "kept_bytes"],
@@ -426,6 +432,12 @@ def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     texts of copies of at least `length` bytes go altogether. doc_id may be null or repeated: rows are told apart by a hash of doc_id and
     text, and what holds for a string holds wherever it is, so rows that share it can't take one another's strings.
     """
+    marked = _marked(docs, length)
+    return marked.mapInArrow(lambda x: _finished(x, length), _with_doc(marked, FINISHED))
+
+
+def _marked(docs: DataFrame, length: int) -> DataFrame:
+    """doc, n_bytes, packed (the compressed text), settled, found: what `_finished` takes the repeated strings out with."""
     if length < 2 * BLOCK:
         raise ValueError(f"length must be at least {2 * BLOCK}")
     text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
@@ -459,24 +471,16 @@ def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
         texts.join(marks.select("key", "settled"), "key", "left")
         .join(found, "key", "left")
         .select("doc", "n_bytes", "packed", "settled", "found")
-        .mapInArrow(lambda x: _finished(x, length), _with_doc(docs, FINISHED))
     )
 
 
-def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        kept = zip(batch.column("kept_bytes").to_pylist(), batch.column("no_text").to_pylist(), strict=True)
-        texts = [None if missing else data.decode(errors="ignore") for data, missing in kept]
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(texts, pa.string())], ["doc", "text"])
-
-
 def cleaned_documents(docs: DataFrame, length: int = 200) -> DataFrame:
     """The rows and columns of `docs` with repeated strings cut out of `text`, and n_chars, if there is one, counted anew.
 
     Characters that lose some of their bytes go altogether. Null texts stay null, and so does their n_chars' value.
     """
-    result = without_repeats(docs, length).select("doc", "no_text", "kept_bytes")
-    texts = result.mapInArrow(_decoded, _with_doc(result, "text string"))
+    marked = _marked(docs, length)
+    texts = marked.mapInArrow(lambda x: _finished(x, length, as_text=True), _with_doc(marked, "text string"))
     chars = F.when(F.col("text").isNull(), F.col("doc.n_chars")).otherwise(F.length("text")) if "n_chars" in docs.columns else None
     return texts.select(
         *(
