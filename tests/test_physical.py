@@ -79,3 +79,17 @@ def test_common_table_is_computed_once(unbroadcast):
     frame = CATALOGUE["q1_cte_scalar_subquery"](unbroadcast, SMALL)
     frame.collect()
     assert "ReusedExchange" in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_sketch_is_kept_for_each_type_not_for_each_user(unbroadcast):
+    lines = explain(CATALOGUE["a10_approximate_distinct"](unbroadcast, SMALL)).splitlines()
+    keys = [re.search(r"keys=\[([^]]*)\]", line).group(1) for line in lines if "approx_count_distinct(" in line]
+    assert keys and not any("user_id" in key for key in keys)
+
+
+def test_types_and_users_that_are_null_are_estimated(spark, tmp_path):
+    spark.sql("""
+        select * from values ('view', 1L), ('view', null), ('click', null), (null, 2L), (null, 3L) as t(event_type, user_id)
+    """).write.parquet(str(tmp_path / "events.parquet"))
+    found = CATALOGUE["a10_approximate_distinct"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found), key=repr) == sorted([("view", True), ("click", True), (None, True)], key=repr)
