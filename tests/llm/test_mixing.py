@@ -1,6 +1,7 @@
 """Pfair mixing against a slot-by-slot simulation of earliest deadline first."""
 
 import math
+import random
 from fractions import Fraction
 
 import pytest
@@ -105,6 +106,65 @@ def test_blocks_grow_with_the_corpus(spark, monkeypatch):
     assert check_balance(rows, {"aa": 2, "bb": 1}) >= 30
 
 
+def test_blocks_stay_as_they_are_in_large_corpora(spark):
+    """200,000 blocks, more than what was once the most of any corpus."""
+    rows = rows_of(mix(frame_of(spark, {"aa": 1000, "bb": 1000}), {"aa": 2, "bb": 1}, block_bytes=1))
+    assert {r["offset"] for r in rows} == {0}
+    assert sorted(r["block"] for r in rows if r["source"] == "aa") == list(range(0, 100_000, 100))
+    assert len(blocks_by_slot(rows)) == 2000 and max(r["slot"] for r in rows) > 190_000
+
+
+def simulated(weights, counts):
+    """Blocks in the order of the slots, each slot after the other."""
+    total, order = sum(weights.values()), sorted(weights, key=lambda s: (-weights[s], s))
+    done, picked = dict.fromkeys(order, 0), []
+    for slot in range(min(counts[s] * total // weights[s] for s in order)):
+        ready = [s for s in order if done[s] * total // weights[s] <= slot]
+        chosen = min(ready, key=lambda s: (-(-(done[s] + 1) * total // weights[s]), order.index(s)))
+        picked.append((chosen, done[chosen]))
+        done[chosen] += 1
+    return picked
+
+
+@pytest.mark.parametrize("period", [1, 8, 512])
+@pytest.mark.parametrize("kind", ["even", "steep", "random"])
+def test_periods_are_folded_apart(spark, monkeypatch, period, kind):
+    """Each begins with the blocks that wait then, those of light streams for many periods."""
+    monkeypatch.setattr(mixing, "PERIOD", period)
+    rng = random.Random(f"{period} {kind}")
+    weight = {"even": lambda n: 1, "steep": lambda n: 3**n, "random": lambda n: rng.randrange(1, 1000)}[kind]
+    weights = {f"s{n:02d}": weight(n) for n in range(9)}
+    counts = {s: 600 * w // sum(weights.values()) + rng.randrange(1, 4) for s, w in weights.items()}
+    frame = spark.createDataFrame([(s, 100 * counts[s], float(w)) for s, w in weights.items()], "stream string, total long, weight double")
+    rows = rows_of(_blocks(frame, 100))
+    want, found = simulated(weights, counts), blocks_by_slot(rows)
+    assert [found[slot] for slot in range(len(want))] == want
+    assert sorted(found) == list(range(len(rows))) and len(rows) == sum(counts.values()) + 9
+    assert {r["slot"] for r in rows if r["balanced"]} == set(range(len(want)))
+
+
+@pytest.mark.parametrize("factor", [1e-300, 1.0, 1e300])
+def test_weights_of_any_size(spark, factor):
+    weights = {"aa": 0.5 * factor, "bb": 0.3 * factor, "cc": 0.2 * factor, "dd": 1e-22 * factor}
+    frame = spark.createDataFrame([(s, 100_000, w) for s, w in weights.items()], "stream string, total long, weight double")
+    rows = rows_of(_blocks(frame, 100))
+    found = blocks_by_slot(rows)
+    assert sorted(found) == list(range(4004))
+    assert [found[slot][0] for slot in range(4)] == ["aa", "bb", "aa", "cc"]
+    assert check_shares(rows, {"aa": 5, "bb": 3, "cc": 2}) == 2000
+
+
+def check_shares(rows, weights):
+    """The number of balanced slots, of which a source has had its share at any time, but for a block."""
+    by_slot, had, total = blocks_by_slot(rows), dict.fromkeys(weights, 0), sum(weights.values())
+    balanced = sorted(r["slot"] for r in rows if r["balanced"])
+    for slot in balanced:
+        source = by_slot[slot][0]
+        had[source] = had.get(source, 0) + 1
+        assert all(abs(had[s] - Fraction(w * (slot + 1), total)) <= 1 for s, w in weights.items())
+    return len(balanced)
+
+
 def test_sources_without_weight_follow_at_the_end(spark):
     frame = frame_of(spark, {"aa": 20, "bb": 20, "zz": 20})
     rows = rows_of(mix(frame, {"aa": 1, "bb": 1, "absent": 5}, block_bytes=100))
