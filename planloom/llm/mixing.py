@@ -25,6 +25,8 @@ from planloom.llm.storage import saved
 SLOTS: int | None = None
 # Slots that are folded at a time, by one task.
 PERIOD = 512
+# Periods that a task folds, on average.
+TASK_PERIODS = 8
 # No slot comes as late as this; later releases and deadlines say this.
 LAST = 1 << 62
 
@@ -194,8 +196,10 @@ def _picks(due: DataFrame, ends: int) -> DataFrame:
     """
     known = due.where(F.col("release") < ends).select("i", "block", "release", "deadline")
     begun = known.withColumn("period", F.expr(f"release div {PERIOD}")).unionByName(_waiting(known, ends))
+    # A given number of tasks: by their few bytes adaptive execution would put all periods into one.
     lists = (
-        begun.groupBy("period", "i").agg(F.array_sort(F.collect_list(F.struct("block", "release", "deadline"))).alias("blocks"))
+        begun.repartition(ends // (TASK_PERIODS * PERIOD) + 1, "period")
+        .groupBy("period", "i").agg(F.array_sort(F.collect_list(F.struct("block", "release", "deadline"))).alias("blocks"))
         .groupBy("period").agg(F.array_sort(F.collect_list(F.struct("i", "blocks"))).alias("own"))
     )
     return lists.select(F.explode(F.expr(_FOLD.format(width=f"{PERIOD}L", ends=f"{ends}L"))).alias("pick")).select("pick.*")
