@@ -63,6 +63,35 @@ def test_empty_sides(spark):
     assert run(spark, some_intervals(3, 20), []).table("overlaps").count() == 0
 
 
+def intervals_of_few_sizes():
+    """Many of one length on the left; from very short to a few long ones on the right."""
+    rng = random.Random(4)
+    lengths = [1 << rng.randrange(32) for _ in range(400)] + [(1 << 32) - n for n in range(100)] + 3 * [1 << 38]
+    sides = [(1 << 32) - 5] * 2000, lengths
+    return ([(n, start := rng.randrange(1 << 36), start + length, 1) for n, length in enumerate(side)] for side in sides)
+
+
+def test_rows_lie_in_few_sizes(spark):
+    """No size that only one side is as small as, and none for a few long intervals."""
+    left, right = intervals_of_few_sizes()
+    session = run(spark, left, right)
+    assert session.table("left_asking").count() + session.table("right_asking").count() < 3 * (len(left) + len(right))
+    assert sorted(map(tuple, session.table("overlaps").collect())) == expected(left, right)
+
+
+def test_rows_come_by_their_left_interval(spark):
+    """Written columns of the left are runs then."""
+    left, right = intervals_of_few_sizes()
+    session = run(spark, left, right)
+    found = [row.left_id for row in session.table("overlaps").collect()]
+    runs = 1 + sum(one != other for one, other in zip(found, found[1:], strict=False))
+    assert runs <= session.table("left_asking").count()
+
+
+def test_both_sides_empty(spark):
+    assert run(spark, [], []).table("overlaps").count() == 0
+
+
 @pytest.mark.parametrize("name", ["j17_overlap_join", "j18_keyed_overlap_join"])
 def test_no_pair_is_found_by_trying(spark, name):
     session = spark.newSession()
