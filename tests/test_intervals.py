@@ -1,6 +1,7 @@
 """Overlap joins against comparing every pair."""
 
 import random
+from datetime import datetime, timedelta
 
 import pytest
 from oracle import TEST_DATA
@@ -8,6 +9,7 @@ from test_physical import explain
 
 from planloom.operators import CATALOGUE
 from planloom.operators.intervals import overlaps
+from planloom.runner import open_plan
 
 
 def run(spark, left, right, key=None, piece_rows=100_000):
@@ -99,3 +101,36 @@ def test_no_pair_is_found_by_trying(spark, name):
     session.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     text = explain(CATALOGUE[name](session, str(TEST_DATA / "sf0.001")))
     assert "NestedLoop" not in text and "Cartesian" not in text and "SortMergeJoin" in text
+
+
+def sessions_of(spark, folder, times):
+    rows = [(n, ts, user, "view", 1.0, "{}") for n, (user, ts) in enumerate(times)]
+    kinds = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, kinds).write.parquet(f"{folder}/events.parquet")
+    return open_plan(spark, CATALOGUE["j17_overlap_join"].plan(str(folder)))
+
+
+def test_sessions_go_on_past_midnight(spark, tmp_path):
+    rng, half, micro = random.Random(5), timedelta(minutes=30), timedelta(microseconds=1)
+    midnight = datetime(2024, 3, 10)
+    times = [(1, midnight + n * half) for n in range(-3, 150)] + [(2, midnight - half + n * (half + micro)) for n in range(9)]
+    times += [(3, midnight - micro), (3, midnight + half - micro), (4, midnight - micro), (4, midnight + half), (None, midnight), (5, None)]
+    times += [(user, midnight + timedelta(minutes=rng.randrange(-3000, 3000), microseconds=rng.randrange(3))) for user in range(6, 30) for _ in range(200)]
+    expected = []
+    for user, ts in sorted(x for x in times if None not in x):
+        if expected and expected[-1][0] == user and ts <= expected[-1][2]:
+            expected[-1][2] = ts + half
+        else:
+            expected.append([user, ts, ts + half])
+    assert sorted(map(list, sessions_of(spark, tmp_path, times).view("sessions").collect())) == expected
+
+
+def test_events_are_shuffled_once_for_sessions(spark, tmp_path):
+    """Rows of user and time, once for all that reads them; only sessions near midnight travel again."""
+    rng = random.Random(6)
+    opened = sessions_of(spark, tmp_path, [(user, datetime(2024, 3, 1) + timedelta(minutes=rng.randrange(20_000))) for user in range(200) for _ in range(20)])
+    assert explain(opened.view("day_sessions")).count("Exchange") == 1
+    sessions = opened.view("sessions")
+    count = len(sessions.collect())
+    assert count > 3000 and 0 < opened.view("edge_sessions").count() < count / 10
+    assert "ReusedExchange" in sessions._jdf.queryExecution().executedPlan().toString()
