@@ -134,3 +134,41 @@ def test_events_are_shuffled_once_for_sessions(spark, tmp_path):
     count = len(sessions.collect())
     assert count > 3000 and 0 < opened.view("edge_sessions").count() < count / 10
     assert "ReusedExchange" in sessions._jdf.queryExecution().executedPlan().toString()
+
+
+def many_and_few(seed):
+    """Many intervals on the left that often touch two bins, few on the right; some on both sides are much longer, some lie at ends of bins."""
+    rng, bin_ = random.Random(seed), 1 << 26
+    left = [(start := rng.randrange(-40 * bin_, 40 * bin_), start + rng.randrange(bin_ // 3, bin_)) for _ in range(1500)]
+    left += [(n * bin_ + place, n * bin_ + place + length) for n in (-3, 0, 4) for place in (-1, 0, 1) for length in (1, bin_ - 1, bin_)]
+    left += [(n * 7 * bin_ - 5, n * 7 * bin_ + 5 * bin_ + n) for n in range(-4, 4)]
+    right = [(start := rng.randrange(-40 * bin_, 40 * bin_), start + rng.randrange(1, 2 * bin_)) for _ in range(150)]
+    right += [(n * bin_ + place, n * bin_ + place + length) for n in (-3, 0, 4, 5) for place in (-1, 0, 1) for length in (1, bin_, bin_ + 1)]
+    right += [(-9 * bin_ + 3, 11 * bin_ - 1), (2 * bin_, 9 * bin_)]
+    return ([(n, *ends, rng.choice([1, 2, None])) for n, ends in enumerate(side)] for side in (left, right))
+
+
+@pytest.mark.parametrize("piece_rows", [100_000, 7])
+@pytest.mark.parametrize("key", [None, "k"])
+@pytest.mark.parametrize("swapped", [False, True])
+def test_the_larger_side_lies_in_one_bin_of_each_size(spark, swapped, key, piece_rows):
+    many, few = many_and_few(8)
+    left, right = (few, many) if swapped else (many, few)
+    session = run(spark, left, right, key, piece_rows)
+    used = session.table("used_sizes").first().used
+    assert used.once == ("right" if swapped else "left")
+    bins = session.table(f"{used.once}_bins").where("length <= shiftleft(1L, size) and size = 26")
+    assert bins.count() == bins.select("id").distinct().count() > 1400
+    assert sorted(map(tuple, session.table("overlaps").collect())) == expected(left, right, key is not None)
+
+
+def test_bins_travel_as_starts_and_steps(spark):
+    """What a row's bin is follows from columns that are shuffled anyway."""
+    many, few = many_and_few(9)
+    session = run(spark, many, few)
+    join = session.table("overlaps")._jdf.queryExecution().optimizedPlan()
+    while join.nodeName() != "Join":
+        join = join.children().head()
+    for side in (join.children().head(), join.children().last()):
+        columns = side.output().mkString(" ")
+        assert "starts#" in columns and "step#" in columns and "bin#" not in columns
