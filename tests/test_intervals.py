@@ -129,7 +129,8 @@ def test_events_are_shuffled_once_for_sessions(spark, tmp_path):
     """Rows of user and time, once for all that reads them; only sessions near midnight travel again."""
     rng = random.Random(6)
     opened = sessions_of(spark, tmp_path, [(user, datetime(2024, 3, 1) + timedelta(minutes=rng.randrange(20_000))) for user in range(200) for _ in range(20)])
-    assert explain(opened.view("day_sessions")).count("Exchange") == 1
+    plan = explain(opened.view("day_sessions"))
+    assert plan.count("Exchange ") == 1 and plan.count("Sort [") == 1 and "Aggregate" not in plan
     sessions = opened.view("sessions")
     count = len(sessions.collect())
     assert count > 3000 and 0 < opened.view("edge_sessions").count() < count / 10
