@@ -173,3 +173,15 @@ def test_bins_travel_as_starts_and_steps(spark):
     for side in (join.children().head(), join.children().last()):
         columns = side.output().mkString(" ")
         assert "starts#" in columns and "step#" in columns and "bin#" not in columns
+
+
+@pytest.mark.parametrize("key", [None, "k"])
+def test_rows_leave_for_the_join_by_their_start(spark, key):
+    """Sorted below what deals them to pieces, where the optimizer leaves it."""
+    many, few = many_and_few(10)
+    session = run(spark, many, few, key)
+    for name in ("left", "right"):
+        tasks = session.table(f"{name}_asking").rdd.map(lambda row: row.starts).glom().collect()
+        assert sum(map(len, tasks)) > 150 and all(starts == sorted(starts) for starts in tasks)
+    join = explain(session.table("overlaps"))
+    assert join.count("Sort [starts#") == 2 and join.index("SortMergeJoin") < join.index("Sort [starts#")
